@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithoflow.llm import linededup, minhash, packing, quality, queries
+from lithoflow.llm import linededup, minhash, packing, quality, queries, suffix
 from lithoflow.llm.common import shared_dir, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -42,12 +42,19 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
+def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 bytes and more that a smaller document has go; documents that lose all their text go with them."""
+    found = suffix.repeated_passages(docs, span=50, text_out=True)
+    kept = found.filter("n_removed < n_bytes OR n_bytes = 0").select(F.col("id").alias("doc_id"), F.col("kept_text").alias("_text"))
+    return _documents(docs.drop("text").join(kept.withColumnRenamed("_text", "text"), "doc_id"))
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     packed = packing.packed_pieces(docs, queries.vocabulary_path())
     return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-STAGES = [("quality", quality_stage), ("line_dedup", line_stage), ("near_duplicates", near_duplicate_stage), ("packing", packing_stage)]
+STAGES = [("quality", quality_stage), ("line_dedup", line_stage), ("near_duplicates", near_duplicate_stage), ("suffix_dedup", suffix_stage), ("packing", packing_stage)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, linededup, media, minhash, packing, quality
+from . import ann, bpe, langid, license_scan, linededup, media, minhash, packing, quality, suffix
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -19,6 +19,10 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts stored as PGM images, read back and hashed."""
     found = media.media_features(media.text_media(table(spark, sf_dir, "documents")), tiles=True)
@@ -63,6 +67,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.round("expected_grade", 6).alias("expected_grade"), F.round("tail", 6).alias("tail_probability"), (F.col("tail") >= quality.KEEP).alias("kept"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated_passages(table(spark, sf_dir, "documents"), span=50).withColumnRenamed("id", "doc_id")
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -90,9 +98,9 @@ FROM lines LEFT JOIN common ON lines.k = common.k GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_media, op3_packing, op4_bpe, op5_near_duplicates, op6_nearest, op7_quality, op9_language, op10_line_dedup]
+    own = [op1_license_scan, op2_media, op3_packing, op4_bpe, op5_near_duplicates, op6_nearest, op7_quality, op8_suffix_dedup, op9_language, op10_line_dedup]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": OP10_SQL}
+    return {"op1_license_scan": license_scan.oracle(), "op10_line_dedup": OP10_SQL}
