@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from . import matching
+
+MODULES = [matching]
+
+
+def _all() -> dict:
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for k, (f, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for k, (_, s) in _all().items() if s}
