@@ -27,26 +27,24 @@ def unit_rows(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, d, f) for d, units in UNITS.items() for k, f in units.items()], "key string, dimension string, factor double")
 
 
-def _lookup(index: int) -> Column:
-    pairs = [x for d, units in UNITS.items() for k, f in units.items() for x in (F.lit(k), F.lit((d, str(f))[index]))]
-    return F.create_map(*pairs)
-
-
 def finite(value: Column) -> Column:
     """A number, neither NaN nor infinite."""
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
 
 
-def converted(value: Column, source: Column, target: Column, exact: bool = False) -> Column:
-    """struct(value, code): value in the target unit, or the first issue that prevents it."""
-    s, t = unit_key(source, exact), unit_key(target, exact)
-    dimension, factor = _lookup(0), _lookup(1)
-    ds, dt = F.try_element_at(dimension, s), F.try_element_at(dimension, t)
+def convert(rows: DataFrame, value: str, source: str, target: str, exact: bool = False) -> DataFrame:
+    """rows with unit_value and unit_code: the value in the target unit, or the first issue that prevents it.
+
+    The vocabulary is a fixed table of under 40 rows and is broadcast.
+    """
+    known = F.broadcast(unit_rows(rows.sparkSession))
+    side = lambda p: known.select(*[F.col(c).alias(f"_{p}_{c}") for c in known.columns])
+    keyed = rows.withColumn("_sk", unit_key(F.col(source), exact)).withColumn("_tk", unit_key(F.col(target), exact))
+    joined = keyed.join(side("s"), F.col("_sk") == F.col("_s_key"), "left").join(side("t"), F.col("_tk") == F.col("_t_key"), "left")
     code = (
-        F.when(~finite(value), "INVALID_MAGNITUDE")
-        .when(ds.isNull() | dt.isNull(), "UNSUPPORTED_UNIT")
-        .when(ds != dt, "INCOMPATIBLE_UNITS")
+        F.when(~finite(F.col(value)), "INVALID_MAGNITUDE")
+        .when(F.col("_s_key").isNull() | F.col("_t_key").isNull(), "UNSUPPORTED_UNIT")
+        .when(F.col("_s_dimension") != F.col("_t_dimension"), "INCOMPATIBLE_UNITS")
     )
-    factor_of = lambda k: F.try_element_at(factor, k).cast("double")
-    result = F.when(code.isNull(), value * factor_of(s) / factor_of(t) + F.lit(0.0))
-    return F.struct(result.alias("value"), code.alias("code"))
+    result = F.col(value) * F.col("_s_factor") / F.col("_t_factor") + F.lit(0.0)  # no negative zero
+    return joined.withColumn("unit_code", code).withColumn("unit_value", F.when(F.col("unit_code").isNull(), result)).select(*rows.columns, "unit_value", "unit_code")

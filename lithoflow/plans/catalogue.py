@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import matching
+from . import canonical, checks, matching
 
-MODULES = [matching]
+MODULES = [matching, checks, canonical]
 
 
 def _all() -> dict:

@@ -82,7 +82,7 @@ def table_rectangularity(spark, sf_dir):
 
 def bounding_rectangle(spark, sf_dir):
     """Extent of the non-null cells of a grid."""
-    cells = table(spark, sf_dir, "part").select("p_brand", F.col("p_size").alias("r"), (F.col("p_partkey") % 13).alias("c"), F.when(F.col("p_retailprice") > 1200, F.col("p_retailprice")).alias("v")).filter("v IS NOT NULL")
+    cells = table(spark, sf_dir, "part").select("p_brand", F.col("p_size").alias("r"), (F.col("p_partkey") % 13).alias("c"), F.when(F.col("p_retailprice") > 950, F.col("p_retailprice")).alias("v")).filter("v IS NOT NULL")
     return cells.groupBy("p_brand").agg(F.min("r").alias("top"), F.max("r").alias("bottom"), F.min("c").alias("first"), F.max("c").alias("last"), F.count(F.lit(1)).alias("n_cells"))
 
 
@@ -114,7 +114,7 @@ l AS (SELECT doc_id, {sql_normal("line")} AS t FROM (SELECT doc_id, unnest(strin
 m AS (SELECT doc_id, concept, CASE WHEN replace(t, ' ', '') = replace(term, ' ', '') THEN 0.99 ELSE 0.98 END::DOUBLE AS score FROM l JOIN s ON replace(t, ' ', '') = replace(term, ' ', '') OR {sql_contains("t", "term")})
 SELECT doc_id, concept, max(score) AS score, count(*) AS n FROM m GROUP BY ALL
 """
-CONCEPT_WORDS = [("size", "large small medium"), ("finish", "brushed polished anodized plated"), ("metal", "steel tin nickel brass copper"), ("kind", "economy standard promo")]
+CONCEPT_WORDS = [("size", "large small medium"), ("colour", "red blue green"), ("thing", "ring gear bolt widget"), ("kind", "economy standard promo")]
 
 
 def keyword_overlap_score(spark, sf_dir):
@@ -151,21 +151,21 @@ SQL_TOPK = f"""
 WITH {SQL_ALIAS}, {SQL_MATCH}, b AS (SELECT doc_id, concept, max(score) AS score FROM m GROUP BY ALL)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, length(concept) - length(replace(concept, '.', '')) DESC, concept) AS INTEGER) AS rank, concept, score FROM b QUALIFY rank <= 3
 """
-PART_ALIASES = [("metal.steel", "steel"), ("metal", "BRASS"), ("finish", "polished brass"), ("kind.promo", "promo-brushed"), ("kind", "economy")]
+PART_ALIASES = [("thing.ring", "ring"), ("thing", "GEAR"), ("thing.ring.small", "Small_Ring"), ("colour.red", "red"), ("thing.widget", "redwidget"), ("colour", "blue")]
 
 
 def alias_search_ranked(spark, sf_dir):
-    types = table(spark, sf_dir, "part").select("p_type").distinct()
-    found = R.search_alias(types, "p_type", PART_ALIASES)
-    order = Window.partitionBy("p_type").orderBy("rank", F.desc(R.dots(F.col("concept"))), "concept")
+    names = table(spark, sf_dir, "part").select("p_name").distinct()
+    found = R.search_alias(names, "p_name", PART_ALIASES)
+    order = Window.partitionBy("p_name").orderBy("rank", F.desc(R.dots(F.col("concept"))), "concept")
     return found.withColumn("position", F.row_number().over(order))
 
 
 SQL_ALIAS_SEARCH = f"""
 WITH a AS (SELECT concept, {sql_plain("alias")} AS k FROM {values(PART_ALIASES)} v(concept, alias)),
-t AS (SELECT DISTINCT p_type, {sql_plain("p_type")} AS k FROM part),
-m AS (SELECT p_type, concept, min(CASE WHEN t.k = a.k THEN 0 WHEN contains(t.k, a.k) THEN 1 WHEN contains(replace(t.k, ' ', ''), replace(a.k, ' ', '')) THEN 2 END) AS rank FROM t, a GROUP BY ALL HAVING rank IS NOT NULL)
-SELECT p_type, concept, CAST(rank AS INTEGER) AS rank, CAST(row_number() OVER (PARTITION BY p_type ORDER BY rank, length(concept) - length(replace(concept, '.', '')) DESC, concept) AS INTEGER) AS position FROM m
+t AS (SELECT DISTINCT p_name, {sql_plain("p_name")} AS k FROM part),
+m AS (SELECT p_name, concept, min(CASE WHEN t.k = a.k THEN 0 WHEN contains(t.k, a.k) THEN 1 WHEN contains(replace(t.k, ' ', ''), replace(a.k, ' ', '')) THEN 2 END) AS rank FROM t, a GROUP BY ALL HAVING rank IS NOT NULL)
+SELECT p_name, concept, CAST(rank AS INTEGER) AS rank, CAST(row_number() OVER (PARTITION BY p_name ORDER BY rank, length(concept) - length(replace(concept, '.', '')) DESC, concept) AS INTEGER) AS position FROM m
 """
 
 
@@ -214,7 +214,7 @@ QUERIES = {
     "block_paragraphs": (block_paragraphs, f"WITH {SQL_BLOCKS} SELECT doc_id, block_no, 'block_' || lpad(block_no::VARCHAR, 4, '0') AS block_id, start_line, end_line, length(text) AS n_chars FROM blocks"),
     "json_props_flatten": (json_props_flatten, "SELECT event_id, '$.' || k AS json_path, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)"),
     "table_rectangularity": (table_rectangularity, "SELECT o_orderkey, len(string_split(concat_ws(',', o_orderkey, o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN o_orderstatus || ',extra' ELSE o_orderstatus END), ','))::BIGINT AS width FROM orders WHERE width <> 3"),
-    "bounding_rectangle": (bounding_rectangle, "SELECT p_brand, min(p_size) AS top, max(p_size) AS bottom, min(p_partkey % 13) AS first, max(p_partkey % 13) AS last, count(*) AS n_cells FROM part WHERE p_retailprice > 1200 GROUP BY p_brand"),
+    "bounding_rectangle": (bounding_rectangle, "SELECT p_brand, min(p_size) AS top, max(p_size) AS bottom, min(p_partkey % 13) AS first, max(p_partkey % 13) AS last, count(*) AS n_cells FROM part WHERE p_retailprice > 950 GROUP BY p_brand"),
     "normalise_terms": (normalise_terms, f"SELECT term, {sql_normal('term')} AS n1, {sql_plain('term')} AS n4, regexp_replace(replace(lower(term), 'ß', 'ss'), '[^a-z0-9]', '', 'g') AS n7 FROM (SELECT p_name AS term FROM part UNION SELECT p_type FROM part)"),
     "alias_theta_match": (alias_theta_match, f"WITH {SQL_ALIAS}, {SQL_MATCH} SELECT doc_id, count(*) AS n_terms, count(DISTINCT concept) AS n_concepts, max(score) AS best FROM m GROUP BY doc_id"),
     "source_term_match": (source_term_match, SQL_SOURCE),
