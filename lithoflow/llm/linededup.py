@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, lower_ascii
+from .common import SPACES, lower_ascii, written
 
 
 def line_key(line: Column) -> Column:
@@ -42,7 +42,7 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A key found in at least min_docs documents loses all its lines; with keep_first, all but the first occurrence in
     (document, position) order.
     """
-    found = line_occurrences(docs, id_col, text_col, min_chars)
+    found = written(line_occurrences(docs, id_col, text_col, min_chars), "lines")  # texts are cut into lines once
     ordered = found.repartitionByRange("key", "doc", "pos").sortWithinPartitions("key", "doc", "pos")
     per_doc = ordered.groupBy("key", "doc").agg(F.min("pos").alias("pos"))
     common = per_doc.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc", "pos")).alias("first")).filter(F.col("n_docs") >= min_docs)
