@@ -3,6 +3,7 @@
 Exact and distributed. The anchor of a string is the least hashed k-mer in it, so equal strings have equal anchors at equal
 places and meet in one bucket. Documents are dealt to blocks of bounded size once; all passes read that one exchange.
 
+0. Copies of a whole text lose it all and take no further part (a group by checksum).
 1. Each block tells every bucket its anchors (31 bits each; one bit says that the block has it in two documents).
 2. Buckets answer with a bit for each anchor: found in another document too. A wrong yes only costs time.
 3. Blocks send the strings around those anchors, as merged fragments, to the buckets.
@@ -25,10 +26,11 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SPAN, KMER, BLOCK, BUCKET, CHUNK, SHALLOW = 50, 12, 4 << 20, 5 << 20, 1 << 20, 16
+SPAN, KMER, BLOCK, BUCKET, CHUNK, SHALLOW = 50, 20, 4 << 20, 5 << 20, 1 << 20, 16
 
 
 def _squeeze(*arrays: np.ndarray) -> bytes:
@@ -58,7 +60,8 @@ def anchors(data: np.ndarray, span: int, k: int) -> tuple[np.ndarray, np.ndarray
     words = words_at(data)
     n = len(data) - k + 1
     h = words[:n].astype(np.uint64)
-    h ^= words[k - 8 : k - 8 + n].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    for start in [*range(8, k - 7, 8)] + [k - 8] * bool(k % 8):
+        h = _mixed(h) + words[start : start + n]
     h = _mixed(h)
     bits = np.uint64((1 << 22) - 1)
     low = (h & ~bits) | np.arange(n, dtype=np.uint64)
@@ -72,17 +75,20 @@ def anchors(data: np.ndarray, span: int, k: int) -> tuple[np.ndarray, np.ndarray
     return (low & bits).astype(np.int64), h
 
 
-def _documents(table: pa.Table) -> tuple[list, list[bytes]]:
-    """Ids and bytes of a block's rows, in an order that depends on nothing but the rows."""
+def _documents(table: pa.Table, copies: pa.Table) -> tuple[list, list[bytes], list[bool]]:
+    """Ids, bytes and whether a smaller document has the same text, of a block's rows, in an order that only they determine."""
     rows = sorted(zip(table["id"].to_pylist(), table["text"].to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
-    return [r[0] for r in rows], [(r[1] or "").encode() for r in rows]
+    copied = set(zip(copies["copy_id"].to_pylist(), copies["copy_sum"].to_pylist(), strict=True))
+    some, texts = {i for i, _ in copied}, [(r[1] or "").encode() for r in rows]
+    return [r[0] for r in rows], texts, [i in some and (i, hashlib.md5(t).hexdigest()) in copied for (i, _), t in zip(rows, texts, strict=True)]
 
 
-def _scanned(ids: list, texts: list[bytes], span: int, k: int):
-    """For chunks of the block: (data, first and last string of each run under one anchor, its document, hash, place in it)."""
+def _scanned(ids: list, texts: list[bytes], copy: list[bool], span: int, k: int):
+    """For chunks of the block: (data, first and last string of each run under one anchor, its document, hash, place in it,
+    place of the anchor in it). Copies are left out: they lose all, and add no string that their original lacks."""
     parts, held = [], 0
-    for d, (i, t) in enumerate(zip(ids, texts, strict=True)):
-        if i is None:
+    for d, (i, t, c) in enumerate(zip(ids, texts, copy, strict=True)):
+        if i is None or c:
             continue
         for start in range(0, len(t) - span + 1, CHUNK):
             piece = t[start : start + CHUNK + span - 1]
@@ -107,7 +113,7 @@ def _scan(parts, span: int, k: int):
     new = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]) | (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)]))
     last = np.concatenate([new[1:], [len(at)]]) - 1
     doc, origin = np.array([d for d, _, _ in parts]), np.array([s for _, s, _ in parts])
-    yield data, at[new], at[last], doc[owner[new]], h[where[new]], at[new] - begin[owner[new]] + origin[owner[new]]
+    yield data, at[new], at[last], doc[owner[new]], h[where[new]], at[new] - begin[owner[new]] + origin[owner[new]], where[new] - at[new]
 
 
 def _keys(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -115,12 +121,12 @@ def _keys(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(31)) % np.uint64(buckets)) << np.uint64(31) | (h & np.uint64(0x7FFFFFFF))
 
 
-def _block_anchors(ids, texts, span, k, buckets) -> tuple[np.ndarray, np.ndarray]:
+def _block_anchors(ids, scans, buckets) -> tuple[np.ndarray, np.ndarray]:
     """The block's distinct anchors in order, and whether each is in documents of two ids."""
     pairs = []
     numbers = {i: n for n, i in enumerate(sorted({i for i in ids if i is not None}))}
     number = np.array([numbers.get(i, 0) for i in ids], np.uint64)
-    for _, _, _, doc, h, _ in _scanned(ids, texts, span, k):
+    for _, _, _, doc, h, _, _ in scans:
         key = _keys(h, buckets)
         order = np.lexsort((number[doc], key))
         key, own = key[order], number[doc][order]
@@ -139,7 +145,9 @@ def _block_anchors(ids, texts, span, k, buckets) -> tuple[np.ndarray, np.ndarray
 def _by_bucket(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket, first, end) of each run of keys in order."""
     bucket = key >> np.uint64(31)
-    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(key) else np.zeros(0, int)
+    if not len(key):
+        return np.zeros(0, np.int64), np.zeros(0, int), np.zeros(0, int)
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     return bucket[first].astype(np.int64), first, np.concatenate([first[1:], [len(key)]]).astype(int)
 
 
@@ -188,7 +196,7 @@ def equal_classes(data: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray
 
 def _settle(rows: list[tuple[int, bytes]], span: int):
     """Spans to remove, from the fragments of a bucket: (block, document's number in it, start, end) arrays."""
-    ids, number, start, length, block, bodies = [], [], [], [], [], []
+    ids, number, start, length, middle, block, bodies = [], [], [], [], [], [], []
     for b, blob in rows:
         raw = _unsqueeze(blob)
         n = struct.unpack_from("<I", raw)[0]
@@ -196,9 +204,10 @@ def _settle(rows: list[tuple[int, bytes]], span: int):
         number.append(np.frombuffer(raw, np.int32, n, 4 + 8 * n))
         start.append(np.frombuffer(raw, np.int32, n, 4 + 12 * n))
         length.append(np.frombuffer(raw, np.uint8, n, 4 + 16 * n))
+        middle.append(np.frombuffer(raw, np.uint8, n, 4 + 17 * n))
         block.append(np.full(n, b))
-        bodies.append(raw[4 + 17 * n :])
-    ids, number, start, length, block = (np.concatenate(x) for x in (ids, number, start, length, block))
+        bodies.append(raw[4 + 18 * n :])
+    ids, number, start, length, middle, block = (np.concatenate(x) for x in (ids, number, start, length, middle, block))
     length, body = length.astype(np.int64), b"".join(bodies)
     ends = np.cumsum(length).tolist()
     seen: dict[bytes, int] = {}
@@ -207,15 +216,21 @@ def _settle(rows: list[tuple[int, bytes]], span: int):
     np.minimum.at(least, piece, ids)
     size = np.array([len(x) for x in seen])
     data = np.frombuffer(b"".join(seen), np.uint8)
-    strings = size - span + 1
-    of = np.repeat(np.arange(len(seen)), strings)
+    # fragments that no other shares the anchor with are one class as they are; the strings of the others are sorted
+    begin, anchor = np.cumsum(size) - size, np.zeros(len(seen), np.int64)
+    anchor[piece] = middle
+    _, kin = np.unique(words_at(data)[begin + anchor], return_inverse=True)
+    sorted_ = np.flatnonzero(np.bincount(kin)[kin] > 1)
+    strings = (size - span + 1)[sorted_]
+    of = np.repeat(sorted_, strings)
     inner = np.arange(len(of)) - np.repeat(np.cumsum(strings) - strings, strings)
-    label = equal_classes(data, (np.cumsum(size) - size)[of] + inner, span)
+    label = equal_classes(data, begin[of] + inner, span)
     order = np.argsort(label, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], label[order][1:] != label[order][:-1]]))
-    lowest = np.minimum.reduceat(least[of[order]], first)
+    first = np.flatnonzero(np.concatenate([[True], label[order][1:] != label[order][:-1]])) if len(of) else np.zeros(0, int)
     smaller = np.zeros(len(of), bool)
-    smaller[order] = np.repeat(lowest, np.diff(np.concatenate([first, [len(of)]]))) < least[of[order]]
+    if len(of):
+        lowest = np.minimum.reduceat(least[of[order]], first)
+        smaller[order] = np.repeat(lowest, np.diff(np.concatenate([first, [len(of)]]))) < least[of[order]]
     whole = ids > least[piece]
     out = [(block[whole], number[whole], start[whole], start[whole] + length[whole])]
     # strings of a fragment's smallest document that a smaller one has in another fragment: runs of them
@@ -235,16 +250,19 @@ def _settle(rows: list[tuple[int, bytes]], span: int):
 
 def repeated_passages(docs: DataFrame, span: int = SPAN, kmer: int = KMER, text_out: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of each row; text_out: also kept_text and the text itself."""
-    if not 16 <= span <= 128 or not 8 <= kmer <= 16 <= span:
-        raise ValueError("span must be 16 to 128 bytes and kmer 8 to 16")
+    if not 8 <= kmer <= span <= 128 or span < 16:
+        raise ValueError("span must be 16 to 128 bytes and kmer 8 to span")
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     blocks, buckets = max(1, -(-total // BLOCK)), max(1, -(-total // BUCKET))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("block", F.pmod(F.xxhash64(F.coalesce(F.col("id"), F.xxhash64("text"))), F.lit(blocks)).cast("long"))
     dealt = rows.groupBy("block")
+    summed = rows.filter((F.octet_length("text") >= span) & F.col("id").isNotNull()).select("id", "block", F.md5("text").alias("sum"))
+    first = summed.groupBy("sum").agg(F.min("id").alias("first"))
+    copies = summed.join(first, "sum").filter("id > first").select(*[F.col(c).alias(f"copy_{c}") for c in ("block", "id", "sum")])
 
-    def tell(group: pa.Table) -> pa.Table:
-        ids, texts = _documents(group)
-        key, twice = _block_anchors(ids, texts, span, kmer, buckets)
+    def tell(group: pa.Table, known: pa.Table) -> pa.Table:
+        ids, texts, copy = _documents(group, known)
+        key, twice = _block_anchors(ids, _scanned(ids, texts, copy, span, kmer), buckets)
         name = (key & np.uint64(0x7FFFFFFF)).astype(np.uint32) << np.uint32(1) | twice.astype(np.uint32)
         bucket, first, end = _by_bucket(key)
         blobs = [name[i:j].tobytes() for i, j in zip(first, end, strict=True)]
@@ -260,31 +278,33 @@ def repeated_passages(docs: DataFrame, span: int = SPAN, kmer: int = KMER, text_
         return pa.table([group["block"], group["bucket"], pa.array([np.packbits(b).tobytes() for b in bits], pa.binary())], ["block", "bucket", "bits"])
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, texts = _documents(left)
-        key, _ = _block_anchors(ids, texts, span, kmer, buckets)
+        known, right = told_copies(right)
+        ids, texts, copy = _documents(left, known)
+        scans = [*_scanned(ids, texts, copy, span, kmer)]
+        key, _ = _block_anchors(ids, scans, buckets)
         bits = dict(zip(right["bucket"].to_pylist(), right["bits"].to_pylist(), strict=True))
         shared = np.zeros(len(key), bool)
         for b, i, j in zip(*_by_bucket(key), strict=True):
             shared[i:j] = np.unpackbits(np.frombuffer(bits[int(b)], np.uint8), count=j - i).astype(bool)
         own = np.array([0 if i is None else i for i in ids], np.int64)
         found, bodies = [], []
-        for data, low, high, doc, h, start in _scanned(ids, texts, span, kmer):
+        for data, low, high, doc, h, start, middle in scans:
             k = _keys(h, buckets)
             hit = np.flatnonzero(shared[np.searchsorted(key, k)])
             length = high[hit] + span - low[hit]
             index = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(low[hit], length)
             bodies.append(data[index])
-            found.append((k[hit] >> np.uint64(31), own[doc[hit]], doc[hit].astype(np.int32), start[hit].astype(np.int32), length))
+            found.append((k[hit] >> np.uint64(31), own[doc[hit]], doc[hit].astype(np.int32), start[hit].astype(np.int32), length, middle[hit].astype(np.uint8)))
         out = []
         if found:
-            bucket, i_, number, start, length = (np.concatenate(x) for x in zip(*found, strict=True))
+            bucket, i_, number, start, length, middle = (np.concatenate(x) for x in zip(*found, strict=True))
             body, at = np.concatenate(bodies), np.cumsum(length) - length
             order = np.argsort(bucket, kind="stable")
             edges = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]])) if len(order) else []
             for part in np.split(order, edges[1:]) if len(order) else []:
                 n = length[part]
                 index = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at[part], n)
-                out.append((int(bucket[part[0]]), _squeeze(np.array([len(part)], np.uint32), i_[part], number[part], start[part], n.astype(np.uint8), body[index])))
+                out.append((int(bucket[part[0]]), _squeeze(np.array([len(part)], np.uint32), i_[part], number[part], start[part], n.astype(np.uint8), middle[part], body[index])))
         return pa.table([pa.array([b for b, _ in out], pa.int64()), pa.array(np.full(len(out), left["block"][0].as_py() if len(left) else 0, np.int64)), pa.array([x for _, x in out], pa.binary())], ["bucket", "block", "blob"])
 
     def settle(group: pa.Table) -> pa.Table:
@@ -297,7 +317,8 @@ def repeated_passages(docs: DataFrame, span: int = SPAN, kmer: int = KMER, text_
         return pa.table([pa.array([b for b, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["block", "spans"])
 
     def take_out(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, texts = _documents(left)
+        known, right = told_copies(right)
+        ids, texts, copy = _documents(left, known)
         spans = [np.frombuffer(_unsqueeze(x.as_py()), np.int32).reshape(3, -1) for x in right["spans"]]
         number, start, end = np.concatenate(spans, 1) if spans else np.zeros((3, 0), np.int32)
         order = np.argsort(number, kind="stable")
@@ -308,7 +329,9 @@ def repeated_passages(docs: DataFrame, span: int = SPAN, kmer: int = KMER, text_
             n = len(t)
             gone = runs = 0
             kept = t
-            if cuts[d] < cuts[d + 1]:
+            if copy[d]:
+                gone, runs, kept = n, 1, b""
+            elif cuts[d] < cuts[d + 1]:
                 depth = np.zeros(n + 1, np.int32)
                 np.add.at(depth, start[cuts[d] : cuts[d + 1]], 1)
                 np.add.at(depth, end[cuts[d] : cuts[d + 1]], -1)
@@ -322,8 +345,19 @@ def repeated_passages(docs: DataFrame, span: int = SPAN, kmer: int = KMER, text_
         names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: 5 + text_out]
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    told = dealt.applyInArrow(tell, "bucket long, block long, blob binary")
-    answers = told.groupBy("bucket").applyInArrow(answer, "block long, bucket long, bits binary")
-    sent = dealt.cogroup(answers.groupBy("block")).applyInArrow(send, "bucket long, block long, blob binary")
-    spans = sent.groupBy("bucket").applyInArrow(settle, "block long, spans binary")
-    return dealt.cogroup(spans.groupBy("block")).applyInArrow(take_out, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * text_out)
+    def told_copies(table: pa.Table) -> tuple[pa.Table, pa.Table]:
+        """Rows that name copies, and the others."""
+        named = pc.is_valid(table["copy_sum"])
+        return table.filter(named), table.filter(pc.invert(named))
+
+    def with_copies(other: DataFrame, columns: str) -> DataFrame:
+        """other and the copies of each block in one table, for a cogroup."""
+        kinds = dict(c.split(" ") for c in columns.split(", "))
+        blank = copies.select("copy_block", "copy_id", "copy_sum", *[F.lit(None).cast(k).alias(c) for c, k in kinds.items()])
+        return other.select(F.col("block").alias("copy_block"), F.lit(None).cast("long").alias("copy_id"), F.lit(None).cast("string").alias("copy_sum"), *kinds).unionByName(blank)
+
+    told = dealt.cogroup(copies.groupBy("copy_block")).applyInArrow(tell, "bucket long, block long, blob binary")
+    answers = with_copies(told.groupBy("bucket").applyInArrow(answer, "block long, bucket long, bits binary"), "bucket long, bits binary")
+    sent = dealt.cogroup(answers.groupBy("copy_block")).applyInArrow(send, "bucket long, block long, blob binary")
+    spans = with_copies(sent.groupBy("bucket").applyInArrow(settle, "block long, spans binary"), "spans binary")
+    return dealt.cogroup(spans.groupBy("copy_block")).applyInArrow(take_out, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * text_out)
