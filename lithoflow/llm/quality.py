@@ -6,7 +6,8 @@ probability P(grade >= top) for selection. Grades: 0 toxic, 1 of low quality, 2
 
 The model is fitted on a bounded sample of labelled documents (``sample`` rows, the lowest hashes of doc_id, so the same
 rows at any partitioning); every document is scored on its whole text. Only tokens of at least ``min_df`` sampled documents
-have weights, so the model's size is bounded by the sample.
+that pass a score test against the model without weights (``screen`` standard deviations) have weights, so the model's size
+is bounded by the sample and chance words don't add up to noise in long texts.
 
 Defined cases: null, empty and tokenless texts score 0 like a text of unknown tokens; with several labels for a document
 the lowest grade holds; null labels are ignored; without labelled documents every tail probability is 1 (nothing is
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import byte_sizes, slices
 
-SAMPLE, MIN_DF, GRADES, BITS, KEEP = 6000, 4, 3, 24, 0.5
+SAMPLE, MIN_DF, GRADES, BITS, KEEP, SCREEN = 12_000, 4, 3, 24, 0.3, 3.0
 TOKENS = regex.compile(r"\w+|[^\w\s]+")
 
 
@@ -74,13 +75,42 @@ class OrdinalModel:
         return sigmoid(scores[:, None] - self.thresholds[None, :])
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, n_grades: int = GRADES, min_df: int = MIN_DF, steps: int = 250, rate: float = 0.05, penalty: float = 1e-4) -> OrdinalModel:
+def _score_test(rows: list[np.ndarray], known: np.ndarray, y: np.ndarray, n_grades: int) -> np.ndarray:
+    """For each token, the slope of the likelihood in its weight at zero, in standard deviations."""
+    below = np.concatenate([[0.0], np.cumsum(np.bincount(y, minlength=n_grades)) / len(y)])  # P(grade < k)
+    pull = (below[y] + below[y + 1] - 1)  # slope of the log likelihood in a document's score
+    every, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    at = np.minimum(np.searchsorted(known, every), len(known) - 1)
+    hit = known[at] == every
+    total, square = (np.bincount(at[hit], v[owner[hit]], len(known)) for v in (pull, pull**2))
+    return total / np.sqrt(np.maximum(square, 1e-12))
+
+
+def _unlike(rows: list[np.ndarray], y: np.ndarray) -> list[int]:
+    """One row of each set of copies of a grade (equal least hashes under two permutations), so that copies don't vote."""
+    seen, out = set(), []
+    for i, r in enumerate(rows):
+        h = r.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        key = (int(y[i]), *((int(h.min()), int((h * np.uint64(0xD6E8FEB86659FD93) ^ (h >> np.uint64(31))).min())) if len(r) else ()))
+        if key not in seen:
+            seen.add(key)
+            out.append(i)
+    return out
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, n_grades: int = GRADES, min_df: int = MIN_DF, screen: float = SCREEN, steps: int = 250, rate: float = 0.05, penalty: float = 1e-4) -> OrdinalModel:
     """Full-batch Adam on the cumulative-link likelihood, with the thresholds as a first one and positive gaps."""
+    chosen = _unlike(rows, y)
+    rows, y = [rows[i] for i in chosen], y[chosen]
     every = np.concatenate(rows) if rows else np.zeros(0, np.int32)
     known, df = np.unique(every, return_counts=True)
     known = known[df >= min_df]
+    nothing = OrdinalModel(np.zeros(0, np.int32), np.zeros(0), np.full(n_grades - 1, -50.0))
     if not len(known) or len(np.unique(y)) < 2:
-        return OrdinalModel(np.zeros(0, np.int32), np.zeros(0), np.full(n_grades - 1, -50.0))
+        return nothing
+    known = known[np.abs(_score_test(rows, known, y, n_grades)) >= screen]
+    if not len(known):
+        return nothing
     at = np.minimum(np.searchsorted(known, every), len(known) - 1)
     hit = known[at] == every
     column, row = at[hit], np.repeat(np.arange(len(rows)), [len(r) for r in rows])[hit]
