@@ -6,12 +6,13 @@ text as it is unless exact=True.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Words that carry no meaning in keyword search.
 STOP_WORDS = ["a", "an", "and", "at", "columns", "data", "for", "in", "is", "key", "of", "on", "or", "rows", "the", "to", "value", "with"]
@@ -66,6 +67,24 @@ def plain_normal(text: Column, exact: bool = False) -> Column:
     return squash(f(t))
 
 
+def exact_normal(text: str | None, scope: bool = False) -> str | None:
+    """normal (or scope_normal) with full compatibility normalisation and folding, for rows that are in Python anyway."""
+    if text is None:
+        return None
+    t = re.sub(r"(?<=[a-z0-9])(?=[A-Z])" + (r"|(?<=[A-Z])(?=[A-Z][a-z])" if scope else ""), " ", unicodedata.normalize("NFKC", text))
+    return " ".join(re.sub(r"[_\W]+", " ", t.casefold()).split())
+
+
+def with_normals(rows: DataFrame, column: str = "text") -> DataFrame:
+    """rows with t and ts, the exact normal forms of a text column: one pass of Python, and none in what follows."""
+
+    def run(frames):
+        for f in frames:
+            yield f.assign(t=f[column].map(exact_normal), ts=f[column].map(lambda x: exact_normal(x, True)))
+
+    return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField("t", StringType()), StructField("ts", StringType())]))
+
+
 def unit_key(unit: Column, exact: bool = False) -> Column:
     """The spelling of a unit."""
     t, f = _prepared(unit, exact)
