@@ -7,10 +7,11 @@ matched with broadcast vocabulary tables. Keys are (case_id, block_id).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import written
 from .retrieve import best_per_key, top_k
 
 KEY = ["case_id", "block_id"]
@@ -97,31 +98,31 @@ def retrieve(blocks: DataFrame, v: dict[str, DataFrame], profiles: list[dict] =
     """(key, rank, concept_id, context columns, score, match_type, terms, supported), ranked and cut to k a block."""
     if k < 1:
         raise ValueError("k must be at least 1")
-    blocks = T.with_normals(blocks.select(*KEY, "block_type", "text", "columns", "rows").filter(F.length(F.trim("text")) > 0)).persist()
+    blocks = written(T.with_normals(blocks.select(*KEY, "block_type", "text", "columns", "rows").filter(F.length(F.trim("text")) > 0)), "blocks")
     small = F.broadcast
     concept = v["concepts"].filter("status = 'active'").select("concept_id", "name", "description")
     tail = F.element_at(F.split("concept_id", r"\."), -1)
     alias = v["aliases"].select("concept_id", T.normal(F.col("alias"), exact=True).alias("term"), F.col("alias").alias("shown"))
     naming = alias.select("concept_id", "term").union(concept.select("concept_id", T.normal(tail))).union(concept.select("concept_id", T.normal(F.col("name")))).filter("term <> ''").distinct()
-    bound = v["bindings"].withColumn("n", F.monotonically_increasing_id())
+    bound = v["bindings"].withColumn("n", F.row_number().over(Window.orderBy("concept_id", *CONTEXT)).cast("long"))  # tens of rows
     bound_alias = v["binding_aliases"].select("concept_id", *CONTEXT, T.normal(F.col("alias"), exact=True).alias("term"), F.col("alias").alias("shown")).filter("term <> ''")
     fluid = {p: _texts(alias.filter(F.col("concept_id") == f"fluid.{p}").select("term").filter("term <> ''")) for p in PHASES}
     terms = sorted({*_texts(naming.select("term")), *_texts(bound_alias.select("term")), *(t for p in PHASES for t in fluid[p])})
-    base = blocks.select(*KEY, "text", "t").withColumn("found", _matched(F.col("t"), terms)).withColumn("q", T.keywords(F.col("t")))
-    hit = base.select(*KEY, F.explode("found").alias("term"), (T.compact(F.col("t")) == T.compact(F.col("term"))).alias("exact")).persist()
-    local = local_evidence(blocks, fluid).persist()
+    base = written(blocks.select(*KEY, "t").withColumn("found", _matched(F.col("t"), terms)).withColumn("q", T.keywords(F.col("t"))), "found")
+    hit = base.select(*KEY, F.explode("found").alias("term"), (T.compact(F.col("t")) == T.compact(F.col("term"))).alias("exact"))
+    local = written(local_evidence(blocks, fluid), "local")
 
     scope_terms = v["scope_aliases"].select("scope", T.scope_normal(F.col("alias"), exact=True).alias("term")).filter("term <> ''").distinct()
     spoken = blocks.select(*KEY, F.explode(_matched(F.col("ts"), _texts(scope_terms.select("term")), T.scope_contains)).alias("term"))
-    explicit = spoken.join(small(scope_terms), "term").select(*KEY, "scope").union(local.select(*KEY, "scope")).distinct().persist()
+    explicit = written(spoken.join(small(scope_terms), "term").select(*KEY, "scope").union(local.select(*KEY, "scope")).distinct(), "explicit")
     used = hit.join(small(naming), "term").select(*KEY, "concept_id").distinct().join(small(bound.select("concept_id", "scope").distinct()), "concept_id")
     told = used.join(explicit.withColumn("x", F.lit(True)), [*KEY, "scope"], "left").groupBy(*KEY, "concept_id").agg(F.bool_or(F.coalesce("x", F.lit(False))).alias("told"), F.collect_set("scope").alias("s"))
-    scopes = explicit.union(told.filter("NOT told").select(*KEY, F.explode("s"))).distinct().persist()
+    scopes = written(explicit.union(told.filter("NOT told").select(*KEY, F.explode("s"))).distinct(), "scopes")
 
     hints = hit.join(small(bound_alias.filter("phase IS NOT NULL")), "term").select(*KEY, "scope", "phase").union(local.filter("phase IS NOT NULL").select(*KEY, "scope", "phase")).distinct()
     phased = scopes.join(small(v["scopes"].filter(F.size("phases") > 0).select("scope")), "scope").groupBy(*KEY).agg(F.collect_set("scope").alias("s")).filter(F.size("s") == 1).select(*KEY, F.element_at("s", 1).alias("scope")).filter(F.col("scope").isin(PHASED))
     bare = base.select(*KEY, F.explode(_phase_hits(F.col("t"), fluid)).alias("phase")).join(phased, KEY).join(hints.select(*KEY).distinct(), KEY, "left_anti").select(*KEY, "scope", "phase")
-    hints = hints.union(bare).distinct().persist()
+    hints = written(hints.union(bare).distinct(), "hints")
     per_scope = hints.groupBy(*KEY, "scope").agg(F.collect_set("phase").alias("hinted"))
 
     any_scope = scopes.select(*KEY).distinct().withColumn("some", F.lit(True))
@@ -141,7 +142,7 @@ def retrieve(blocks: DataFrame, v: dict[str, DataFrame], profiles: list[dict] =
 
     null_key = [F.coalesce(F.col(c), F.lit("")).alias(f"k_{c}") for c in CONTEXT]
     keyed = [*KEY, "concept_id", *[f"k_{c}" for c in CONTEXT]]
-    entries = entries.select("*", *null_key).persist()
+    entries = written(entries.select("*", *null_key), "entries")
     by_concept = hit.join(small(alias.filter("term <> ''")), "term").select(*KEY, "concept_id", "exact", "shown")
     by_binding = hit.join(small(bound_alias.select("concept_id", *null_key, "term", "shown")), "term").drop("term")
     said = entries.join(by_concept, [*KEY, "concept_id"]).select(*keyed, "exact", "shown").union(entries.join(by_binding, keyed).select(*keyed, "exact", "shown"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.units import convert
-from .contracts import resolve
+from .contracts import CONTEXT, resolve
 from .joins import null_safe
 
 WELL_TYPES = {"well.producer": "producer", "well.water_injector": "water_injector", "well.gas_injector": "gas_injector"}
@@ -73,12 +73,12 @@ def build(drafts: DataFrame, concepts: DataFrame, bindings: DataFrame) -> tuple[
         .when(expected.isNotNull() & ~F.col("value_str").eqNullSafe(expected), "ONTOLOGY_VALUE_MISMATCH")
         .when((F.col("norm_concept") == "well") & ~F.col("value_str").eqNullSafe(well), "ENTITY_SELECTOR_MISMATCH")
     )
-    checked = rows.select("case_id", "seq", "path", F.col("norm_concept").alias("concept_id"), F.when(physical, F.col("unit_value")).alias("value"), F.when(~physical, F.col("value_str")).alias("text"), "unit", code.alias("code"))
+    checked = rows.select("case_id", "seq", "path", F.col("norm_concept").alias("concept_id"), F.when(physical, F.col("unit_value")).alias("value"), F.when(~physical, F.col("value_str")).alias("text"), "unit", *[F.col(f"norm_context.{c}").alias(c) for c in CONTEXT], code.alias("code"))
     good = checked.filter("code IS NULL")
-    merged = merge_paths(good, ["case_id", "path"], ["concept_id", "value", "text", "unit"], ["seq"])
+    merged = merge_paths(good, ["case_id", "path"], ["concept_id", "value", "text", "unit", *CONTEXT], ["seq"])
     conflicts = merged.filter("code IS NOT NULL").select("case_id", "path", "code")
     issues = checked.filter("code IS NOT NULL").select("case_id", F.coalesce("path", F.lit("$")).alias("path"), "code").union(conflicts).union(subtree_conflicts(good, "case_id"))
-    return merged.filter("code IS NULL").select("case_id", "path", "concept_id", "value", "text", "unit"), issues.distinct()
+    return merged.filter("code IS NULL").select("case_id", "path", "concept_id", "value", "text", "unit", *CONTEXT), issues.distinct()
 
 
 def nest_wells(quantities: DataFrame) -> DataFrame:
