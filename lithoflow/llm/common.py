@@ -44,11 +44,12 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors.
 
-    The files go when the session's JVM ends.
+    Partitions are first evened out to the advisory size, so that small tables are few files. The files go when the
+    session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.hint("rebalance").write.parquet(path)
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)

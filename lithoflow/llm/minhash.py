@@ -5,9 +5,9 @@ slots p(j) of a random permutation p; a slot keeps its least value. Slots that g
 later j, so the ranks are visited level by level for all elements at once and end early when every slot is settled.
 
 Copies (equal word sequences) are one class; only the smallest document of a class is compared. Members of a bucket are
-compared with the bucket's pivot, its best connected member; where that leaves a bucket in several components, its members
-are compared with each member of the other components that could still link, so no link of a bucket is lost. A bucket of
-linked documents costs its size, not its square. Links are confirmed on the full sets and joined to components by
+compared with the bucket's pivot, its best connected member; those that this leaves outside the pivot's component are
+compared with the others of the bucket, so no link of a bucket is lost. A bucket of linked documents costs its size, not its
+square; pairs are formed only inside blocks of bounded size, and only links leave them. Links are confirmed on the full sets and joined to components by
 partition-wise union-find and star contraction. Nothing is collected but counts.
 
 Band settings: 40 bands of 6 rows find a pair of similarity 0.8 with probability 1 - (1 - 0.8^6)^40 > 0.99999.
@@ -21,13 +21,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import let, words, written
 
 BANDS, ROWS = 40, 6
 SLICE = 1 << 16
+PAIRS, SIDE, COLUMNS = 4096, 1024, 4096
 
 
 def shingle_hashes(text: Column, size: int) -> Column:
@@ -171,15 +172,12 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The distinct pairs (a, b) with 100 * |A & B| >= percent * |A | B| on full sets, and jaccard distance d of all pairs: (a, b, d, linked)."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    needed = pairs.select("a").union(pairs.select("b")).distinct()
-    texts = texts.join(needed.withColumnRenamed("a", "id"), "id", "left_semi")
+def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(a, b, linked) of pairs (a, b) of texts (id, text): linked if 100 * |A & B| >= percent * |A | B| on full sets."""
     two = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     sets = two.select("a", "b", shingle_hashes(F.col("ta"), shingle).alias("sa"), shingle_hashes(F.col("tb"), shingle).alias("sb"))
     counted = sets.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("n"))
-    return counted.select("a", "b", (1 - F.col("i") / (F.col("n") - F.col("i"))).alias("d"), (100 * F.col("i") >= percent * (F.col("n") - F.col("i"))).alias("linked"))
+    return counted.select("a", "b", (100 * F.col("i") >= percent * (F.col("n") - F.col("i"))).alias("linked"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,31 +193,80 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     ranked = crowded.join(weight, "id")
     pivot = ranked.groupBy("bucket").agg(F.max(F.struct(F.col("weight"), (-F.col("id")).alias("minus"))).alias("best")).select("bucket", (-F.col("best.minus")).alias("pivot"))
     pairs = crowded.join(pivot, "bucket").filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    found = written(confirmed(pairs, docs, shingle, percent, id_col, text_col), "pairs")
-    links = copies.union(found.filter("linked").select("a", "b"))
-    groups = written(components(links), "groups")
-    rest = cross_pairs(crowded, groups, pivot, found, 1 - percent / 100)
-    more = written(confirmed(rest, docs, shingle, percent, id_col, text_col).filter("linked").select("a", "b"), "links")
+    # the texts of the documents in question move once, by a shuffle at every size
+    ids = crowded.select("id").distinct().hint("merge")
+    texts = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi"), "texts")
+    found = written(confirmed(pairs, texts, shingle, percent), "pairs")
+    groups = written(components(copies.union(found.filter("linked").select("a", "b"))), "groups")
+    more = written(cross_links(found, groups, texts, shingle, percent), "links")
     if more.limit(1).count():
         groups = written(components(groups.select(F.col("id").alias("a"), F.col("root").alias("b")).filter("a <> b").union(more)), "groups")
     return signed.select("id", "n_shingles").join(groups, "id", "left").select("id", "n_shingles", F.coalesce("root", "id").alias("component"))
 
 
-def cross_pairs(crowded: DataFrame, groups: DataFrame, pivot: DataFrame, found: DataFrame, most: float) -> DataFrame:
-    """Distinct pairs of a bucket's members in different components that may be within the distance ``most``.
+def cross_links(found: DataFrame, groups: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components among the documents that were compared with one pivot.
 
-    Distances to the pivot rule pairs out by the triangle inequality. Buckets of one component have none.
+    Two documents of a bucket were both compared with its pivot. If they are in different components, one of them, an outer
+    one, is not in the pivot's. So each pivot's outer documents are compared with its documents of other components: one by
+    one where that is at most ``PAIRS``, in blocks of at most ``SIDE`` by ``SIDE`` otherwise. There, sets are told as their
+    difference from the pivot's set, and |A & B| = |A & P| + |B & P| - |P| + |(A ^ P) & (B ^ P)| is exact; only links leave
+    a block.
     """
-    of = crowded.join(groups, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
-    mixed = of.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
-    of = of.join(mixed, "bucket").join(pivot, "bucket")
-    near = found.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "d")
-    of = of.join(near, ["id", "pivot"], "left").select("bucket", "id", "root", "pivot", F.coalesce("d", F.lit(0.0)).alias("d"))
-    # members in the component of their pivot are the large side; each of the others meets them and its like
-    main = of.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size"))
-    biggest = main.groupBy("bucket").agg(F.max(F.struct("size", "root"))["root"].alias("most"))
-    of = of.join(biggest, "bucket")
-    outer = of.filter("root <> most").select("bucket", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("d").alias("da"))
-    inner = of.select("bucket", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("d").alias("db"), "most", "pivot")
-    joined = outer.join(inner, "bucket").filter((F.col("ra") != F.col("rb")) & (F.abs(F.col("da") - F.col("db")) <= most + 1e-9) & (F.col("a") != F.col("pivot")) & (F.col("b") != F.col("pivot")) & ((F.col("rb") == F.col("most")) | (F.col("a") < F.col("b"))))
-    return joined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    root = groups.select(F.col("id").alias("a"), F.col("root").alias("ra"))
+    of = found.select("a", F.col("b").alias("p")).join(root, "a", "left").join(root.select(F.col("a").alias("p"), F.col("ra").alias("rp")), "p", "left")
+    of = written(of.select("p", "a", F.coalesce("ra", "a").alias("ra"), F.coalesce("rp", "p").alias("rp")), "compared")
+    size = of.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ra") != F.col("rp")).alias("outer")).filter("outer > 0 AND n > 1")
+    few, many = size.filter(F.col("n") * F.col("outer") <= PAIRS).select("p"), size.filter(F.col("n") * F.col("outer") > PAIRS)
+    outer = of.filter("ra <> rp")
+    pairs = outer.join(few, "p").select("p", F.col("a").alias("x"), F.col("ra").alias("rx")).join(of.select("p", F.col("a").alias("y"), F.col("ra").alias("ry"), "rp"), "p")
+    pairs = pairs.filter((F.col("rx") != F.col("ry")) & ((F.col("ry") == F.col("rp")) | (F.col("x") < F.col("y")))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    links = confirmed(written(pairs, "cross"), texts, shingle, percent).filter("linked").select("a", "b")
+    held = of.join(many.select("p", (F.col("n") / SIDE).cast("int").alias("mb"), (F.col("outer") / SIDE).cast("int").alias("ob")), "p")
+    told = held.join(texts.select(F.col("id").alias("a"), "text"), "a").join(texts.select(F.col("id").alias("p"), F.col("text").alias("pt")), "p")
+    told = told.select("p", "a", "ra", "rp", "mb", "ob", shingle_hashes(F.col("text"), shingle).alias("s"), shingle_hashes(F.col("pt"), shingle).alias("t"))
+    apart = F.concat(F.array_except("s", "t"), F.transform(F.array_except("t", "s"), lambda e: F.bitwise_not(e)))
+    told = written(told.select("p", "a", "ra", "rp", "mb", "ob", F.size("s").alias("n"), F.size(F.array_intersect("s", "t")).alias("i"), F.size("t").alias("c"), apart.alias("d")), "differences")
+    cell = lambda n, seed: F.pmod(F.xxhash64("a", F.lit(seed)), F.col(n) + 1)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n)).cast("array<bigint>"))
+    left = told.filter("ra <> rp").select("p", cell("ob", 1).alias("u"), every("mb").alias("v"), "a", "ra", "n", "i", "c", "d")
+    right = told.select("p", every("ob").alias("u"), cell("mb", 2).alias("v"), "a", "ra", "n", "i", "c", "d")
+
+    def within(left: pa.Table, right: pa.Table) -> pa.Table:
+        none = pa.table([pa.array([], pa.int64())] * 2, ["a", "b"])
+        if not left.num_rows or not right.num_rows:
+            return none
+        (dl, ol), (dr, or_) = ((c.values.to_numpy(), np.repeat(np.arange(len(c)), np.diff(c.offsets.to_numpy()))) for c in (t["d"].combine_chunks() for t in (left, right)))
+        shared = np.intersect1d(dl, dr)
+        both = np.zeros((left.num_rows, right.num_rows), np.float32)
+        for k in range(0, len(shared), COLUMNS):
+            part = shared[k : k + COLUMNS]
+            m = []
+            for d, owner, rows in ((dl, ol, left.num_rows), (dr, or_, right.num_rows)):
+                at = np.minimum(np.searchsorted(part, d), len(part) - 1)
+                hit = part[at] == d
+                x = np.zeros((rows, len(part)), np.float32)
+                x[owner[hit], at[hit]] = 1
+                m.append(x)
+            both += m[0] @ m[1].T
+        get = lambda t, c: t[c].to_numpy().astype(np.int64)
+        overlap = both.astype(np.int64) + get(left, "i")[:, None] + get(right, "i")[None, :] - get(left, "c")[:1, None]
+        total = get(left, "n")[:, None] + get(right, "n")[None, :] - overlap
+        x, y = np.nonzero((100 * overlap >= percent * total) & (get(left, "ra")[:, None] != get(right, "ra")[None, :]))
+        # a spanning forest of the links is enough
+        tops, out = {}, []
+        la, ra = get(left, "a"), get(right, "a")
+
+        def top(v):
+            while (up := tops.setdefault(v, v)) != v:
+                tops[v] = v = tops[up]
+            return v
+
+        for u, v in zip(la[x].tolist(), ra[y].tolist(), strict=True):
+            if (tu := top(u)) != (tv := top(v)):
+                tops[max(tu, tv)] = min(tu, tv)
+                out.append((u, v))
+        return pa.table([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], ["a", "b"]) if out else none
+
+    met = left.groupBy("p", "u", "v").cogroup(right.groupBy("p", "u", "v")).applyInArrow(within, "a long, b long")
+    return links.select(F.col("a").cast("long"), F.col("b").cast("long")).union(met)
