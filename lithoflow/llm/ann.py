@@ -134,43 +134,42 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 20, probe: float = P
 
     def assign(frames):
         for f in frames:
-            f["list"] = shared.value.list_of(np.array(f["v"].tolist())) if len(f) else []
-            yield f[["key", "v", "ids", "list"]]
+            x = np.array(f["v"].tolist()) if len(f) else np.zeros((0, shared.value.dim - 1))
+            yield pd.DataFrame({"ids": f["ids"], "list": shared.value.list_of(x), "raw": [r.tobytes() for r in x], "h": f["key"]})
 
     def probe_lists(frames):
         for f in frames:
             if len(f):
-                near = shared.value.probes(np.array(f["v"].tolist()), probe)
-                yield pd.DataFrame({"v": f["v"], "list": list(near)})
+                x = np.array(f["v"].tolist())
+                yield pd.DataFrame({"rep": f["rep"], "raw": [r.tobytes() for r in x], "list": list(shared.value.probes(x, probe))})
 
-    placed = written(distinct.mapInPandas(assign, "key long, v array<double>, ids array<long>, list long"), "lists")
+    placed = written(distinct.mapInPandas(assign, "ids array<long>, list long, raw binary, h long"), "lists")
     # at most ``lists`` counts; a list is cut into as many blocks as it needs
     blocks = {r["list"]: -(-r["count"] // block) for r in placed.groupBy("list").count().collect()}
     cuts = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair])
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("v", F.lit(7)), F.element_at(cuts, F.col("list"))).cast("int"))
-    wanted = asked.select("v").distinct().mapInPandas(probe_lists, "v array<double>, list array<long>").select("v", F.explode("list").alias("list"))
+    placed = placed.withColumn("block", F.pmod(F.col("h"), F.element_at(cuts, F.col("list"))).cast("int"))
+    # equal query vectors are searched once, under their smallest id
+    reps = written(asked.groupBy("v").agg(F.min("id").alias("rep")), "queries")
+    named = asked.join(reps, "v").select(F.col("id").alias("query_id"), "rep")
+    wanted = reps.mapInPandas(probe_lists, "rep long, raw binary, list array<long>").select("rep", "raw", F.explode("list").alias("list"))
     # every block of a list is probed; a list of a common vector has no more rows than others since equal vectors are one
-    wanted = wanted.withColumn("n", F.try_element_at(cuts, F.col("list"))).filter("n > 0").select("v", "list", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("block"))
+    wanted = wanted.withColumn("n", F.try_element_at(cuts, F.col("list"))).filter("n > 0").select("rep", "raw", "list", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("block"))
 
     def within(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"v": [], "vec_id": [], "score": []}).astype({"vec_id": "int64", "score": "float64"})
-        if not len(left) or not len(right):
-            return empty
-        out, x = [], np.array(right["v"].tolist())
-        ids = right["ids"].tolist()
-        for i in range(0, len(left), 128):
-            vs = left["v"].iloc[i : i + 128].tolist()
-            q = np.array(vs)
-            for v, at in zip(vs, shared.value.scan(q, x, k + 1), strict=True):
-                if len(at):
-                    score = (x[at] * np.asarray(v)[None, :]).sum(1)
-                    pairs = sorted(((-s, i_) for s, a in zip(score.tolist(), at.tolist(), strict=True) for i_ in ids[a]))[: k + 1]
-                    out.append(pd.DataFrame({"v": [v] * len(pairs), "vec_id": [p[1] for p in pairs], "score": [-p[0] for p in pairs]}))
-        return pd.concat(out) if out else empty
-
-    hits = wanted.groupBy("list", "block").cogroup(placed.groupBy("list", "block")).applyInPandas(within, "v array<double>, vec_id long, score double")
-    order = Window.partitionBy("v").orderBy(F.desc("score"), "vec_id")
+        found: list[tuple[int, int, float]] = []
+        if len(left) and len(right):
+            q, x = (np.frombuffer(b"".join(t["raw"]), np.float64).reshape(len(t), -1) for t in (left, right))
+            reps_, ids = left["rep"].tolist(), right["ids"].tolist()
+            for i in range(0, len(q), 128):
+                for rep, v, at in zip(reps_[i : i + 128], q[i : i + 128], shared.value.scan(q[i : i + 128], x, k + 1), strict=True):
+                    scores = (x[at] * v[None, :]).sum(1).tolist()
+                    pairs = sorted((-s, j) for s, a in zip(scores, at.tolist(), strict=True) for j in ids[a])[: k + 1]
+                    found += [(rep, j, -s) for s, j in pairs]
+        return pd.DataFrame(found, columns=["rep", "vec_id", "score"]).astype({"rep": "int64", "vec_id": "int64", "score": "float64"})
+
+    hits = wanted.groupBy("list", "block").cogroup(placed.groupBy("list", "block")).applyInPandas(within, "rep long, vec_id long, score double")
+    order = Window.partitionBy("rep").orderBy(F.desc("score"), "vec_id")
     best = hits.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1).drop("n")
-    own = asked.select(F.col("id").alias("query_id"), "v").join(best, "v").filter("query_id <> vec_id")
+    own = named.join(best, "rep").filter("query_id <> vec_id")
     again = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return own.withColumn("rank", F.row_number().over(again)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
