@@ -103,7 +103,7 @@ def source_term_match(spark, sf_dir):
     """Exact 0.99, contained 0.98."""
     t = F.col("t")
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).select("doc_id", "i", T.normal(F.col("line")).alias("t"))
-    one = [F.struct(F.lit(a).alias("term"), F.lit(c).alias("concept"), F.when(T.compact(t) == a.replace(" ", ""), 0.99).when(R.literal_contains(t, a), 0.98).alias("score")) for a, c in SOURCE_TERMS]
+    one = [F.struct(F.lit(a).alias("term"), F.lit(c).alias("concept"), F.when(R.literal_equal(t, a), 0.99).when(R.literal_contains(t, a), 0.98).alias("score")) for a, c in SOURCE_TERMS]
     found = lines.select("doc_id", F.explode(F.filter(F.array(*one), lambda x: x["score"].isNotNull())).alias("m")).select("doc_id", "m.*")
     return found.groupBy("doc_id", "concept").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("n"))
 
