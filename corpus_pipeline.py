@@ -1,7 +1,9 @@
 """The corpus pipeline: quality classifier, line dedup, near-duplicate removal, repeated-passage removal, packing.
 
 Each stage takes (spark, docs, sf_dir), works on every row its predecessor kept and is written as Parquet before the next.
-All but the last return the columns of documents; n_chars follows the text. Null texts pass the filters as they are.
+All but the last return the columns of documents; n_chars follows the text. Null texts pass the filters as they are, up to
+the removal of passages, which returns them as empty texts (n_chars 0). Rows with a null or repeated doc_id pass each stage
+as rows of their own.
 """
 
 from __future__ import annotations
@@ -44,9 +46,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 bytes and more that a smaller document has go; documents that lose all their text go with them."""
-    found = suffix.repeated_passages(docs, span=50, text_out=True)
-    kept = found.filter("n_removed < n_bytes OR n_bytes = 0").select(F.col("id").alias("doc_id"), F.col("kept_text").alias("_text"))
-    return _documents(docs.drop("text").join(kept.withColumnRenamed("_text", "text"), "doc_id"))
+    found = suffix.repeated_passages(docs, span=50, text_out=True, carry=("lang", "source"))
+    kept = found.filter("n_removed < n_bytes OR n_bytes = 0")
+    return _documents(kept.select(F.col("id").alias("doc_id"), F.col("kept_text").alias("text"), "lang", "source"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

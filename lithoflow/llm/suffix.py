@@ -16,7 +16,8 @@ Common passages cost their occurrences, not pairs; equal fragments are sorted on
 
 Defined cases: null is the empty text; texts under ``span`` bytes lose nothing; rows with a null id are compared with none
 and lose nothing; rows of equal ids are one document to each other (neither is smaller); a removal may cut a character, whose
-rest ``kept_text`` drops; an empty table gives an empty result; extra columns are ignored.
+rest ``kept_text`` drops; an empty table gives an empty result; extra columns are ignored, except
+those named in ``carry``, which each row gets back as they were.
 """
 
 from __future__ import annotations
@@ -75,12 +76,17 @@ def anchors(data: np.ndarray, span: int, k: int) -> tuple[np.ndarray, np.ndarray
     return (low & bits).astype(np.int64), h
 
 
+def _ordered(table: pa.Table) -> list[tuple]:
+    """(id, text, place in the table) of a block's rows, in an order that ids and texts determine; rows that tie are equal in both."""
+    return sorted(zip(table["id"].to_pylist(), table["text"].to_pylist(), range(table.num_rows), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[1] is not None))
+
+
 def _documents(table: pa.Table, copies: pa.Table) -> tuple[list, list[bytes], list[bool]]:
-    """Ids, bytes and whether a smaller document has the same text, of a block's rows, in an order that only they determine."""
-    rows = sorted(zip(table["id"].to_pylist(), table["text"].to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    """Ids, bytes and whether a smaller document has the same text, of a block's rows, in the order of ``_ordered``."""
+    rows = _ordered(table)
     copied = set(zip(copies["copy_id"].to_pylist(), copies["copy_sum"].to_pylist(), strict=True))
     some, texts = {i for i, _ in copied}, [(r[1] or "").encode() for r in rows]
-    return [r[0] for r in rows], texts, [i in some and (i, hashlib.md5(t).hexdigest()) in copied for (i, _), t in zip(rows, texts, strict=True)]
+    return [r[0] for r in rows], texts, [i in some and (i, hashlib.md5(t).hexdigest()) in copied for (i, *_), t in zip(rows, texts, strict=True)]
 
 
 def _scanned(ids: list, texts: list[bytes], copy: list[bool], span: int, k: int):
@@ -248,13 +254,14 @@ def _settle(rows: list[tuple[int, bytes]], span: int):
     return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
-def repeated_passages(docs: DataFrame, span: int = SPAN, kmer: int = KMER, text_out: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256) of each row; text_out: also kept_text and the text itself."""
+def repeated_passages(docs: DataFrame, span: int = SPAN, kmer: int = KMER, text_out: bool = False, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256) of each row; text_out: also kept_text; then the row's columns named in carry."""
     if not 8 <= kmer <= span <= 128 or span < 16:
         raise ValueError("span must be 16 to 128 bytes and kmer 8 to span")
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     blocks, buckets = max(1, -(-total // BLOCK)), max(1, -(-total // BUCKET))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("block", F.pmod(F.xxhash64(F.coalesce(F.col("id"), F.xxhash64("text"))), F.lit(blocks)).cast("long"))
+    held = [f"carry_{k}" for k in range(len(carry))]
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(h) for c, h in zip(carry, held, strict=True)]).withColumn("block", F.pmod(F.xxhash64(F.coalesce(F.col("id"), F.xxhash64("text"))), F.lit(blocks)).cast("long"))
     dealt = rows.groupBy("block")
     summed = rows.filter((F.octet_length("text") >= span) & F.col("id").isNotNull()).select("id", "block", F.md5("text").alias("sum"))
     first = summed.groupBy("sum").agg(F.min("id").alias("first"))
@@ -319,6 +326,7 @@ def repeated_passages(docs: DataFrame, span: int = SPAN, kmer: int = KMER, text_
     def take_out(left: pa.Table, right: pa.Table) -> pa.Table:
         known, right = told_copies(right)
         ids, texts, copy = _documents(left, known)
+        rows_of = _ordered(left)
         spans = [np.frombuffer(_unsqueeze(x.as_py()), np.int32).reshape(3, -1) for x in right["spans"]]
         number, start, end = np.concatenate(spans, 1) if spans else np.zeros((3, 0), np.int32)
         order = np.argsort(number, kind="stable")
@@ -343,7 +351,8 @@ def repeated_passages(docs: DataFrame, span: int = SPAN, kmer: int = KMER, text_
         columns = [*zip(*out, strict=True)] or [[]] * (5 + text_out)
         kinds = [pa.int64()] * 4 + [pa.string()] * (1 + text_out)
         names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: 5 + text_out]
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        places = pa.array([place for _, _, place in rows_of], pa.int64())
+        return pa.table([*[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], *[left[h].take(places) for h in held]], names + held)
 
     def told_copies(table: pa.Table) -> tuple[pa.Table, pa.Table]:
         """Rows that name copies, and the others."""
@@ -360,4 +369,6 @@ def repeated_passages(docs: DataFrame, span: int = SPAN, kmer: int = KMER, text_
     answers = with_copies(told.groupBy("bucket").applyInArrow(answer, "block long, bucket long, bits binary"), "bucket long, bits binary")
     sent = dealt.cogroup(answers.groupBy("copy_block")).applyInArrow(send, "bucket long, block long, blob binary")
     spans = with_copies(sent.groupBy("bucket").applyInArrow(settle, "block long, spans binary"), "spans binary")
-    return dealt.cogroup(spans.groupBy("copy_block")).applyInArrow(take_out, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * text_out)
+    kinds_out = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * text_out
+    kinds_out += "".join(f", {h} {docs.schema[c].dataType.simpleString()}" for c, h in zip(carry, held, strict=True))
+    return dealt.cogroup(spans.groupBy("copy_block")).applyInArrow(take_out, kinds_out).withColumnsRenamed(dict(zip(held, carry, strict=True)))

@@ -62,3 +62,29 @@ def test_quality_uses_labels(spark, tmp_path):
     model = quality.train(docs, quality.grades(spark.read.parquet(f"{d}/labels.parquet")))
     gone = {r["doc_id"] for r in docs.collect()} - {r["doc_id"] for r in quality.select_documents(docs, model).collect()}
     assert gone >= set(range(0, 120, 9))
+
+
+def odd_rows(spark):
+    """Null and repeated ids, null texts and columns: (id, text, lang, source, n_chars)."""
+    rng = random.Random(8)
+    a, b, c = (" ".join(f"v{rng.randrange(3000)}" for _ in range(40)) for _ in range(3))
+    rows = [(None, a, "en", "p", 0), (None, a, None, "q", 0), (None, None, "de", None, 0), (4, b, "en", "r", 0), (4, b, "en", "r", 0), (5, c, "en", "s", 0), (5, c[:90] + " other end", "fr", "t", 0), (6, None, "en", "u", 0), (6, "", "en", "u", 0)]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def plain(rows):
+    return sorted(((r[0], r[1] or "", r[2], r[3], len(r[1] or "")) for r in rows), key=str)
+
+
+def test_suffix_stage_keeps_null_and_repeated_ids(spark):
+    rows, docs = odd_rows(spark)
+    got = P.suffix_stage(spark, docs, "")
+    assert got.columns == P.COLUMNS and sorted(map(tuple, got.collect()), key=str) == plain(rows)
+    gone = spark.createDataFrame([(2, rows[3][1], "en", "late", 0)], docs.schema)  # a smaller document takes the text of both rows of 4
+    assert sorted(map(tuple, P.suffix_stage(spark, docs.union(gone), "").collect()), key=str) == plain([r for r in rows if r[0] != 4] + [(2, rows[3][1], "en", "late", 0)])
+
+
+def test_null_and_repeated_ids_reach_packing(spark):
+    rows, docs = odd_rows(spark)
+    packed = P.packing_stage(spark, P.suffix_stage(spark, P.near_duplicate_stage(spark, P.line_stage(spark, docs, ""), ""), ""), "")
+    assert sorted((r["doc_id"] for r in packed.filter("piece = 0").collect()), key=str) == sorted((r[0] for r in rows), key=str)
