@@ -6,8 +6,8 @@ partitions. Counts and first occurrences are partial aggregates over that order;
 keep bitmaps (eight lines a byte, null: all lines stay), never as text.
 
 Defined cases: null or empty text is one empty line; keys shorter than ``min_chars`` code points are never dropped; rows
-with a null doc_id count as one document and get no bitmap; equal rows of one document count once; extra columns are
-ignored by ``line_bitmaps`` and kept by ``drop_lines``.
+with a null doc_id count as one document and get no bitmap; rows of one doc_id count as one document, each text with a bitmap
+of its own; extra columns are ignored by ``line_bitmaps`` and kept by ``drop_lines``.
 """
 
 from __future__ import annotations
@@ -26,32 +26,37 @@ def text_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def text_hash(text: Column) -> Column:
+    """Tells the texts of one document apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def line_occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1) -> DataFrame:
-    """(doc, pos, key) for every line whose key has at least min_chars code points."""
-    lines = docs.select(F.col(id_col).alias("doc"), F.posexplode(text_lines(F.col(text_col))).alias("pos", "line"))
+    """(doc, body, pos, key) for every line whose key has at least min_chars code points."""
+    lines = docs.select(F.col(id_col).alias("doc"), text_hash(F.col(text_col)).alias("body"), F.posexplode(text_lines(F.col(text_col))).alias("pos", "line"))
     return (
-        lines.select("doc", "pos", line_key(F.col("line")).alias("k"))
+        lines.select("doc", "body", "pos", line_key(F.col("line")).alias("k"))
         .filter(F.length("k") >= min_chars)
-        .select("doc", "pos", F.unhex(F.md5("k")).alias("key"))
+        .select("doc", "body", "pos", F.unhex(F.md5("k")).alias("key"))
     )
 
 
 def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
-    """(doc, keep) for documents that lose a line: keep is a bitmap, bit 7 of byte 0 for line 0.
+    """(doc, body, keep) for texts (body: their hash) that lose a line: keep is a bitmap, bit 7 of byte 0 for line 0.
 
     A key found in at least min_docs documents loses all its lines; with keep_first, all but the first occurrence in
-    (document, position) order.
+    (document, position, hash of the text) order.
     """
     found = written(line_occurrences(docs, id_col, text_col, min_chars), "lines")  # texts are cut into lines once
     ordered = found.repartitionByRange("key", "doc", "pos").sortWithinPartitions("key", "doc", "pos")
-    per_doc = ordered.groupBy("key", "doc").agg(F.min("pos").alias("pos"))
-    common = per_doc.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc", "pos")).alias("first")).filter(F.col("n_docs") >= min_docs)
+    per_doc = ordered.groupBy("key", "doc").agg(F.min(F.struct("pos", "body")).alias("at"))
+    common = per_doc.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc", "at.pos", "at.body")).alias("first")).filter(F.col("n_docs") >= min_docs)
     lost = ordered.join(common.select("key", "first"), "key")
     if keep_first:
-        lost = lost.filter(~F.struct("doc", "pos").eqNullSafe(F.col("first")))
-    bytes_ = lost.groupBy("doc", F.expr("pos div 8").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, 7 - pos % 8)")).alias("gone"))
+        lost = lost.filter(~F.struct("doc", "pos", "body").eqNullSafe(F.col("first")))
+    bytes_ = lost.groupBy("doc", "body", F.expr("pos div 8").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, 7 - pos % 8)")).alias("gone"))
     held = F.sort_array(F.collect_list(F.struct("byte", "gone")))
-    return bytes_.groupBy("doc").agg(held.alias("held")).select("doc", packed(F.col("held")).alias("keep"))
+    return bytes_.groupBy("doc", "body").agg(held.alias("held")).select("doc", "body", packed(F.col("held")).alias("keep"))
 
 
 def packed(held: Column) -> Column:
@@ -63,7 +68,8 @@ def packed(held: Column) -> Column:
 
 def drop_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with text reduced to its kept lines (joined by newline), and n_lines and n_dropped added as _n_lines, _n_dropped."""
-    joined = docs.join(bitmaps.select(F.col("doc").alias("_doc"), F.col("keep").alias("_keep")), F.col(id_col) == F.col("_doc"), "left")
+    own = (F.col(id_col) == F.col("_doc")) & (text_hash(F.col(text_col)) == F.col("_body"))
+    joined = docs.join(bitmaps.select(F.col("doc").alias("_doc"), F.col("body").alias("_body"), F.col("keep").alias("_keep")), own, "left")
     lines = text_lines(F.col(text_col))
     kept = F.filter(F.col("_lines"), lambda line, i: F.coalesce(F.get(F.col("_bits"), i) != "0", F.lit(True)))
     return (
@@ -73,7 +79,7 @@ def drop_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text
         .withColumn(text_col, F.when(F.col("_keep").isNull(), F.col(text_col)).otherwise(F.array_join("_kept", "\n")))
         .withColumn("_n_lines", F.size("_lines").cast("long"))
         .withColumn("_n_dropped", (F.size("_lines") - F.size("_kept")).cast("long"))
-        .drop("_doc", "_keep", "_lines", "_bits", "_kept")
+        .drop("_doc", "_body", "_keep", "_lines", "_bits", "_kept")
     )
 
 

@@ -501,6 +501,18 @@ def test_line_dedup(spark, least):
     assert {*df.columns} < {*got.columns}
 
 
+def test_lines_of_repeated_ids(spark):
+    """Rows of one id are one document, but lose the lines of their own text only."""
+    rows = [(i, f"common\nown {i}") for i in range(3)] + [r for r in ODD if r[0] == 905] + [(7, "common\nfirst\nmore"), (7, "unique\nCommon"), (7, "unique\nCommon"), (8, "rare\nx"), (8, "y\nrare")]
+    df = frame(spark, rows)
+    got = linededup.drop_lines(df, linededup.line_bitmaps(df, min_docs=3))
+    assert sorted((r["doc_id"], r["_n_lines"], r["_n_dropped"], hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in got.collect()) == lines(rows, 3)
+    assert sorted(r["text"] for r in got.filter("doc_id = 7").collect()) == ["first\nmore", "unique", "unique"]
+    df = frame(spark, [(1, "a\nb"), (1, "a\nc"), (2, "a")])
+    got = linededup.drop_lines(df, linededup.line_bitmaps(df, min_docs=1, keep_first=True))
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) in ([(1, "a\nb"), (1, "c"), (2, "")], [(1, "a\nc"), (1, "b"), (2, "")])
+
+
 def test_first_lines_stay(spark):
     df = frame(spark, [(2, "a\nb\na"), (1, "c\nA "), (3, "a")])
     got = linededup.drop_lines(df, linededup.line_bitmaps(df, min_docs=1, keep_first=True))
