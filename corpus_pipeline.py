@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithoflow.llm import linededup, minhash, packing, quality, queries, suffix
-from lithoflow.llm.common import shared_dir, table
+from lithoflow.llm.common import shared_dir, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Stages run Python; no SQL expresses them. tests/llm holds brute-force versions.
@@ -38,10 +38,14 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one of the smallest doc_id."""
-    found = minhash.near_duplicates(docs, shingle=5, percent=80)
-    gone = found.filter("id <> component").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group stays: the one of the smallest doc_id. The texts of a repeated doc_id are documents of
+    their own, told apart by 64-bit hashes of doc_id and text; equal rows of a doc_id stay or go together."""
+    keyed = docs.withColumn("_key", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
+    found = minhash.near_duplicates(keyed, shingle=5, percent=80, id_col="_key").select("id", "component").filter("id IS NOT NULL").distinct()
+    found = written(found.join(keyed.select(F.col("_key").alias("id"), "doc_id").distinct(), "id"), "groups")
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "id")).alias("first")).select(F.col("first.id").alias("id"))
+    gone = found.join(first, "id", "left_anti").select(F.col("id").alias("_key"))
+    return keyed.join(gone, "_key", "left_anti").select(*COLUMNS)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

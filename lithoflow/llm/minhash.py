@@ -184,9 +184,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     """(id, n_shingles, component): component is the smallest id reachable by links, the document's own if none."""
     signed = written(banded(docs, shingle, bands, rows, id_col, text_col), "bands")
     classes = signed.filter("n_shingles > 0 AND id IS NOT NULL").groupBy("copy").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    member = signed.filter("n_shingles > 0 AND id IS NOT NULL").select("id", "copy").join(classes.filter("n > 1"), "copy").filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    member = signed.filter("n_shingles > 0 AND id IS NOT NULL").select("id", "copy").join(classes.filter("n > 1"), "copy").filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"), "copy")
     copies = written(member, "copies")
-    single = signed.join(copies.select(F.col("a").alias("id")), "id", "left_anti").filter("bands IS NOT NULL AND id IS NOT NULL").select("id", F.explode("bands").alias("bucket"))
+    single = signed.join(copies.select(F.col("a").alias("id"), "copy"), ["id", "copy"], "left_anti").filter("bands IS NOT NULL AND id IS NOT NULL").select("id", F.explode("bands").alias("bucket"))
     sizes = single.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     crowded = written(single.join(sizes, "bucket"), "buckets")
     weight = crowded.groupBy("id").agg(F.sum("n").alias("weight"))
@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     ids = crowded.select("id").distinct().hint("merge")
     texts = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi"), "texts")
     found = written(confirmed(pairs, texts, shingle, percent), "pairs")
-    groups = written(components(copies.union(found.filter("linked").select("a", "b"))), "groups")
+    groups = written(components(copies.select("a", "b").union(found.filter("linked").select("a", "b"))), "groups")
     more = written(cross_links(found, groups, texts, shingle, percent), "links")
     if more.limit(1).count():
         groups = written(components(groups.select(F.col("id").alias("a"), F.col("root").alias("b")).filter("a <> b").union(more)), "groups")
@@ -223,7 +223,9 @@ def cross_links(found: DataFrame, groups: DataFrame, texts: DataFrame, shingle:
     pairs = pairs.filter((F.col("rx") != F.col("ry")) & ((F.col("ry") == F.col("rp")) | (F.col("x") < F.col("y")))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     links = confirmed(written(pairs, "cross"), texts, shingle, percent).filter("linked").select("a", "b")
     held = of.join(many.select("p", (F.col("n") / SIDE).cast("int").alias("mb"), (F.col("outer") / SIDE).cast("int").alias("ob")), "p")
-    told = held.join(texts.select(F.col("id").alias("a"), "text"), "a").join(texts.select(F.col("id").alias("p"), F.col("text").alias("pt")), "p")
+    # any one text of the pivot serves, if all are told by the same
+    pivots = texts.join(many.select(F.col("p").alias("id")), "id", "left_semi").groupBy(F.col("id").alias("p")).agg(F.min("text").alias("pt"))
+    told = held.join(texts.select(F.col("id").alias("a"), "text"), "a").join(pivots, "p")
     told = told.select("p", "a", "ra", "rp", "mb", "ob", shingle_hashes(F.col("text"), shingle).alias("s"), shingle_hashes(F.col("pt"), shingle).alias("t"))
     apart = F.concat(F.array_except("s", "t"), F.transform(F.array_except("t", "s"), lambda e: F.bitwise_not(e)))
     told = written(told.select("p", "a", "ra", "rp", "mb", "ob", F.size("s").alias("n"), F.size(F.array_intersect("s", "t")).alias("i"), F.size("t").alias("c"), apart.alias("d")), "differences")

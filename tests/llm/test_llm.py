@@ -280,6 +280,14 @@ def test_near_duplicates(spark, k):
     assert {tuple(r) for r in minhash.near_duplicates(frame(spark, rows), k).collect()} == duplicates(rows, k)
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """A row that is a copy does not keep the other texts of its id from their links."""
+    a, b = (" ".join(f"{c}{j}" for j in range(40)) for c in "ab")
+    rows = [(1, a), (5, a), (5, b), (5, b), (12, b), (9, b + " end"), (30, a[::-1])]
+    got = {(r["id"], r["component"]) for r in minhash.near_duplicates(frame(spark, rows), 2).collect()}
+    assert got == {(1, 1), (5, 1), (12, 1), (9, 1), (30, 30)}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(frame(spark, [(1, "a")]).limit(0), 2).count() == 0
     assert [tuple(r) for r in minhash.near_duplicates(frame(spark, [(None, "a b"), (3, "a b"), (3, "a b")]), 2).filter("id IS NULL").collect()] == [(None, 1, None)]

@@ -88,3 +88,12 @@ def test_null_and_repeated_ids_reach_packing(spark):
     rows, docs = odd_rows(spark)
     packed = P.packing_stage(spark, P.suffix_stage(spark, P.near_duplicate_stage(spark, P.line_stage(spark, docs, ""), ""), ""), "")
     assert sorted((r["doc_id"] for r in packed.filter("piece = 0").collect()), key=str) == sorted((r[0] for r in rows), key=str)
+
+
+def test_near_duplicate_stage_keeps_other_texts_of_an_id(spark):
+    rng = random.Random(9)
+    a, b = (" ".join(f"v{rng.randrange(3000)}" for _ in range(60)) for _ in range(2))
+    rows = [(1, a), (5, a), (5, b), (5, b), (9, b + " end"), (12, b), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = P.near_duplicate_stage(spark, docs, "").collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted([(1, a), (5, b), (5, b), (None, a)], key=str)
