@@ -16,6 +16,7 @@ rejected); extra columns are ignored by ``score_documents`` and kept by ``select
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 
 import numpy as np
@@ -87,11 +88,10 @@ def _score_test(rows: list[np.ndarray], known: np.ndarray, y: np.ndarray, n_grad
 
 
 def _unlike(rows: list[np.ndarray], y: np.ndarray) -> list[int]:
-    """One row of each set of copies of a grade (equal least hashes under two permutations), so that copies don't vote."""
+    """One row of each set of copies of a grade (equal sets of features, by checksum), so that copies don't vote."""
     seen, out = set(), []
     for i, r in enumerate(rows):
-        h = r.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        key = (int(y[i]), *((int(h.min()), int((h * np.uint64(0xD6E8FEB86659FD93) ^ (h >> np.uint64(31))).min())) if len(r) else ()))
+        key = (int(y[i]), hashlib.sha256(np.ascontiguousarray(r).tobytes()).digest())
         if key not in seen:
             seen.add(key)
             out.append(i)

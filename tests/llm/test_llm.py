@@ -386,6 +386,14 @@ def test_quality_held_out(spark):
     assert np.mean(good) > 0.95 and np.mean(bad) > 0.75 and np.mean(toxic) > 0.85  # 4,000 labels; better with more
 
 
+def test_only_copies_are_left_out_of_the_fit():
+    rng = np.random.default_rng(2)
+    rows = [np.unique(rng.zipf(1.3, 300) % (1 << 24)).astype(np.int32) for _ in range(400)]
+    assert len({r.tobytes() for r in rows}) == 400
+    assert quality._unlike(rows, np.zeros(400, int)) == [*range(400)]
+    assert quality._unlike(rows + rows[:9] + rows[:3], np.array([0] * 409 + [1] * 3)) == [*range(400), 409, 410, 411]
+
+
 def test_quality_edges(spark):
     docs, labels = frame(spark, corpus(n=20)), spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, None, 0), (3, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
     assert {tuple(r) for r in quality.grades(labels).collect()} == {(1, 1), (3, 0)}
