@@ -6,20 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def closure(edges: DataFrame, most_depth: int = 32) -> DataFrame:
+def closure(edges: DataFrame, most_depth: int = 1000) -> DataFrame:
     """(node, ancestor, depth) of (child, parent), self at depth 0; a cycle ends where it would repeat a node.
 
-    A recursive query; the vocabulary's trees are shallow, and its depth bounds the steps.
+    A recursive query; the vocabulary's trees are shallow, and its depth bounds the steps. A path of more than most_depth
+    steps is an error (RECURSION_LEVEL_LIMIT_EXCEEDED), never left out.
     """
     spark: SparkSession = edges.sparkSession
     edges.createOrReplaceTempView("_closure_edges")
     return spark.sql(
         f"""
-        WITH RECURSIVE up(node, ancestor, depth, path) AS (
+        WITH RECURSIVE up(node, ancestor, depth, path) MAX RECURSION LEVEL {int(most_depth) + 1} AS (
           SELECT n, n, 0, array(n) FROM (SELECT child AS n FROM _closure_edges UNION SELECT parent FROM _closure_edges) WHERE n IS NOT NULL
           UNION ALL
           SELECT u.node, e.parent, u.depth + 1, array_append(u.path, e.parent) FROM up u JOIN _closure_edges e ON u.ancestor = e.child
-          WHERE e.parent IS NOT NULL AND NOT array_contains(u.path, e.parent) AND u.depth < {int(most_depth)}
+          WHERE e.parent IS NOT NULL AND NOT array_contains(u.path, e.parent)
         ) SELECT node, ancestor, min(depth) AS depth FROM up GROUP BY node, ancestor
         """
     )

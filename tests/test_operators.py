@@ -251,6 +251,14 @@ def test_closure_ends_in_cycles(spark):
     assert {(r[0], r[1]) for r in up.filter("node = 'd'").collect()} == {("d", x) for x in "dabc"}
 
 
+def test_closure_of_deep_trees(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(120)], "child int, parent int")
+    assert [tuple(r) for r in graph.closure(edges).filter("node = 0").orderBy("depth").collect()] == [(0, i, i) for i in range(121)]
+    assert graph.closure(edges, most_depth=120).count() == 121 * 122 // 2
+    with pytest.raises(Exception, match="RECURSION_LEVEL_LIMIT_EXCEEDED"):
+        graph.closure(edges, most_depth=119).count()
+
+
 def test_json_repair():
     assert chunk.repair_json('{"a": 1}') == ('{"a": 1}', "none")
     assert chunk.repair_json('```json\n{"a": 1}\n```')[1] == "code_fence"
