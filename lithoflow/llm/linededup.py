@@ -1,9 +1,10 @@
 """Line deduplication with DataFrame functions only.
 
 Lines are reduced to keys (128-bit hashes of the trimmed, lower-cased line), range-partitioned on (key, document,
-position) -- the composite range splits a key that a third of all rows hold over several partitions -- and sorted within
-partitions. Counts and first occurrences are partial aggregates over that order; decisions go back to documents as packed
-keep bitmaps (eight lines a byte, null: all lines stay), never as text.
+position) -- the composite range splits a key that a third of all rows hold over several partitions. Counts and first
+occurrences are hash aggregates, partial ones in those partitions and final ones after exchanges by hash; no order is used
+(Spark removes a sort under aggregates of this kind). Decisions go back to documents as packed keep bitmaps (eight lines a
+byte, not compressed, null: all lines stay), never as text.
 
 Defined cases: null or empty text is one empty line; keys shorter than ``min_chars`` code points are never dropped; rows
 with a null doc_id count as one document and get no bitmap; rows of one doc_id count as one document, each text with a bitmap
@@ -48,7 +49,7 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     (document, position, hash of the text) order.
     """
     found = written(line_occurrences(docs, id_col, text_col, min_chars), "lines")  # texts are cut into lines once
-    ordered = found.repartitionByRange("key", "doc", "pos").sortWithinPartitions("key", "doc", "pos")
+    ordered = found.repartitionByRange("key", "doc", "pos")
     per_doc = ordered.groupBy("key", "doc").agg(F.min(F.struct("pos", "body")).alias("at"))
     common = per_doc.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc", "at.pos", "at.body")).alias("first")).filter(F.col("n_docs") >= min_docs)
     lost = ordered.join(common.select("key", "first"), "key")
