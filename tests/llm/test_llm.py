@@ -349,6 +349,46 @@ def test_nearest(spark):
         assert [(-s, j) for _, j, s in found] == sorted((-s, j) for _, j, s in found)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+def test_exact_way_is_brute_force(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r["vec_id"], np.array(r["embedding"], float)) for r in df.collect()]
+    m, ids = np.stack([v for _, v in rows]), np.array([i for i, _ in rows])
+    got = {}
+    for r in ann.search(None, df, k=20, probe=1, alpha=0, block=64, queried=F.col("id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    for q, v in rows:
+        if q % 20 == 0:
+            scores = (m * v).sum(1)
+            assert [got[q][n + 1] for n in range(20)] == [i for i in ids[np.lexsort((ids, -scores))] if i != q][:20]
+
+
+def test_scan_abandons_and_probes_few():
+    """On clustered vectors a small share of the cells is computed and a small share of the rows is probed."""
+    rng = np.random.default_rng(0)
+    centres = rng.standard_normal((40, 64)) * 3
+    x = centres[rng.integers(0, 40, 8000)] + rng.standard_normal((8000, 64))
+    index = ann.Index(x[:4000], np.linalg.norm(x, axis=1).max(), 2)
+    lists = index.lists_of(index.stored(x))
+    sizes = np.bincount(lists, minlength=len(index.fine))
+    q = x[::80]
+    asks = index.probes(q, sizes, 20, ann.MISS)
+    bound = index.scan(q, x[::8], lists[::8], np.ones(asks.shape, bool), np.full(len(q), np.inf), 20)[1][:, -1]
+    at, *_ = index.scan(q, x, lists, asks, bound, 20)
+    best = np.argsort(-(q @ x.T), axis=1)[:, :20]
+    assert np.mean([len({*a} & {*b}) / 20 for a, b in zip(at.tolist(), best.tolist())]) >= 0.9
+    assert (asks * sizes).sum() < 0.1 * len(q) * len(x)
+    _, _, done, every = index.scan(q, x, lists, np.ones(asks.shape, bool), bound, 20)
+    assert every == len(q) * len(x) * 65 and done < 0.4 * every
+
+
+def test_lists_grow_with_the_rows():
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((6000, 8))
+    few, many = (ann.Index(x, 9.0, shards) for shards in (1, 8))
+    assert len(few.fine) == ann.LISTS and len(many.fine) == 8 * ann.LISTS
+
+
 def test_nearest_of_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<float>")
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(None, df, k=20, queried=F.col("id") % 20 == 0).orderBy("rank").collect()]
