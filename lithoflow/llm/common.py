@@ -33,29 +33,57 @@ def let(value: Column, body) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; where it is unset (tests), a folder of this machine."""
+    """The folder all executors share: spark.checkpoint.dir; where it is unset (tests on this machine alone), a folder of it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Folders made by ``written`` and not yet deleted, the latest last.
+_FOLDERS: list[str] = []
+
+
+def written(df: DataFrame, name: str, even: bool = True) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors.
 
-    Partitions are first evened out to the advisory size, so that small tables are few files. The files go when the
-    session's JVM ends.
+    even: partitions are first evened out to the advisory size, so that small tables are few files; else they are written as
+    they are, in order. The files go with ``drop_written`` or when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.hint("rebalance").write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    (df.hint("rebalance") if even else df).write.parquet(path)
+    folder, files = _folder(spark, path)
+    files.deleteOnExit(folder)
+    _FOLDERS.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _folder(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    folder, files = _folder(spark, path)
+    files.delete(folder, True)
+
+
+def written_so_far() -> int:
+    """A mark for ``drop_written``."""
+    return len(_FOLDERS)
+
+
+def drop_written(spark: SparkSession, since: int) -> None:
+    """Deletes the tables that ``written`` made since a mark; their frames can't be read any more."""
+    for path in _FOLDERS[since:]:
+        drop_folder(spark, path)
+    del _FOLDERS[since:]
+
+
 def byte_sizes(column):
     """Bytes of each text or binary of an Arrow column, 0 for null."""
     import pyarrow.compute as pc

@@ -1,19 +1,19 @@
 """Line deduplication with DataFrame functions only.
 
-Lines are reduced to keys (128-bit hashes of the trimmed, lower-cased line), range-partitioned on (key, document,
-position) -- the composite range splits a key that a third of all rows hold over several partitions. Counts and first
-occurrences are hash aggregates, partial ones in those partitions and final ones after exchanges by hash; no order is used
-(Spark removes a sort under aggregates of this kind). Decisions go back to documents as packed keep bitmaps (eight lines a
-byte, not compressed, null: all lines stay), never as text.
+Lines are reduced to keys (128-bit hashes of the trimmed, lower-cased line), range-partitioned on (key, document) -- the
+composite range splits a key that a third of all rows hold over several partitions -- and sorted by position within. A
+window streams over the sorted ranges and marks each document's first line of a key; only these are counted, in each range
+first. Decisions go back to the ranges by (key, range), so that lines of a hot key stay spread, and from there to documents
+as run-length compressed keep bitmaps (eight lines a byte; bytes that lose nothing are left out), never as text.
 
-Defined cases: null or empty text is one empty line; keys shorter than ``min_chars`` code points are never dropped; rows
+Defined cases: an empty table has no bitmaps; null or empty text is one empty line; keys shorter than ``min_chars`` code points are never dropped; rows
 with a null doc_id count as one document and get no bitmap; rows of one doc_id count as one document, each text with a bitmap
 of its own; extra columns are ignored by ``line_bitmaps`` and kept by ``drop_lines``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACES, lower_ascii, written
@@ -42,29 +42,46 @@ def line_occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
+def ordered_lines(found: DataFrame) -> DataFrame:
+    """Lines range-partitioned by (key, document) and sorted by position within, each with its range (part) and its turn among the
+    document's lines of that key. One exchange: the window runs over the ranges as they are."""
+    ranges = found.repartitionByRange("key", "doc")
+    turn = F.row_number().over(Window.partitionBy("key", "doc").orderBy("pos", "body"))
+    return ranges.withColumn("turn", turn).withColumn("part", F.spark_partition_id())
+
+
+def common_keys(ordered: DataFrame, min_docs: int, keep_first: bool = False) -> DataFrame:
+    """(key, part, first) of keys found in at least min_docs documents, a row for each range that holds lines of the key.
+
+    A document's first line of a key stands for the document. Counts are partial in each range, so a key costs one row a
+    range; the ranges of a key follow one another. first: its first (document, position, hash of the text), if wanted.
+    """
+    firsts = ordered.filter("turn = 1")
+    facts = [F.count(F.lit(1)).alias("n_docs"), F.min("part").alias("low"), F.max("part").alias("high")]
+    if keep_first:
+        facts.append(F.min(F.struct("doc", "pos", "body")).alias("first"))
+    counted = firsts.groupBy("key").agg(*facts).filter(F.col("n_docs") >= min_docs)
+    return counted.select("key", F.explode(F.sequence("low", "high")).alias("part"), *["first"] * keep_first)
+
+
 def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
-    """(doc, body, keep) for texts (body: their hash) that lose a line: keep is a bitmap, bit 7 of byte 0 for line 0.
+    """(doc, body, keep) for texts (body: their hash) that lose a line: keep is a run-length compressed bitmap, an array of (byte,
+    n, gone): n bytes from byte on lose the bits of gone, where bit 7 of byte 0 is line 0. Bytes not named lose nothing.
 
     A key found in at least min_docs documents loses all its lines; with keep_first, all but the first occurrence in
     (document, position, hash of the text) order.
     """
     found = written(line_occurrences(docs, id_col, text_col, min_chars), "lines")  # texts are cut into lines once
-    ordered = found.repartitionByRange("key", "doc", "pos")
-    per_doc = ordered.groupBy("key", "doc").agg(F.min(F.struct("pos", "body")).alias("at"))
-    common = per_doc.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc", "at.pos", "at.body")).alias("first")).filter(F.col("n_docs") >= min_docs)
-    lost = ordered.join(common.select("key", "first"), "key")
+    ordered = written(ordered_lines(found), "ordered", even=False)
+    common = written(common_keys(ordered, min_docs, keep_first), "common")
+    lost = ordered.join(common, ["key", "part"])
     if keep_first:
         lost = lost.filter(~F.struct("doc", "pos", "body").eqNullSafe(F.col("first")))
-    bytes_ = lost.groupBy("doc", "body", F.expr("pos div 8").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, 7 - pos % 8)")).alias("gone"))
-    held = F.sort_array(F.collect_list(F.struct("byte", "gone")))
-    return bytes_.groupBy("doc", "body").agg(held.alias("held")).select("doc", "body", packed(F.col("held")).alias("keep"))
-
-
-def packed(held: Column) -> Column:
-    """The keep bitmap up to the last lost line, from its (byte, lost bits) in order; lines beyond it stay."""
-    before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get(held, i - 1)["byte"])
-    part = F.transform(held, lambda x, i: F.concat(F.repeat(F.lit("FF"), (x["byte"] - before(i) - 1).cast("int")), F.lpad(F.hex(F.lit(255) - x["gone"]), 2, "0")))
-    return F.unhex(F.array_join(part, ""))
+    own = lost.select("doc", "body", "pos").repartition("doc", "body")  # the one exchange of all that follows
+    bytes_ = own.groupBy("doc", "body", F.expr("pos div 8").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, 7 - pos % 8)")).alias("gone"))
+    run = F.col("byte") - F.row_number().over(Window.partitionBy("doc", "body", "gone").orderBy("byte"))
+    runs = bytes_.withColumn("run", run).groupBy("doc", "body", "gone", "run").agg(F.min("byte").alias("byte"), F.count(F.lit(1)).alias("n"))
+    return runs.groupBy("doc", "body").agg(F.sort_array(F.collect_list(F.struct("byte", "n", "gone"))).alias("keep"))
 
 
 def drop_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -84,7 +101,9 @@ def drop_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text
     )
 
 
-def bit_string(bitmap: Column) -> Column:
-    """An array of '0' (lost) and '1', one for each line of the bitmap."""
-    nibbles = F.filter(F.split(F.hex(bitmap), ""), lambda c: c != "")
-    return F.filter(F.split(F.array_join(F.transform(nibbles, lambda c: F.lpad(F.conv(c, 16, 2), 4, "0")), ""), ""), lambda c: c != "")
+def bit_string(keep: Column) -> Column:
+    """An array of '0' (lost) and '1', one for each line up to the bitmap's last named byte."""
+    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(keep, i - 1)["byte"] + F.get(keep, i - 1)["n"])
+    own = lambda x: F.repeat(F.lpad(F.bin(F.lit(255) - x["gone"]), 8, "0"), x["n"].cast("int"))
+    spelt = F.transform(keep, lambda x, i: F.concat(F.repeat(F.lit("11111111"), (x["byte"] - before(i)).cast("int")), own(x)))
+    return F.filter(F.split(F.array_join(spelt, ""), ""), lambda c: c != "")

@@ -576,6 +576,32 @@ def test_first_lines_stay(spark):
     assert linededup.line_bitmaps(df.limit(0)).count() == 0
 
 
+def test_lines_are_streamed_in_order(spark):
+    """One exchange, by range; the sort and the window stay in the plan; every line is in a range of its key and document."""
+    rows = [(i, "hot\nhot\n" + f"own {i}") for i in range(300)]
+    found = linededup.line_occurrences(frame(spark, rows))
+    ordered = linededup.ordered_lines(found)
+    plan = ordered._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "rangepartitioning(key" in plan and "Sort [key" in plan and "Window" in plan
+    got = ordered.collect()
+    assert len(got) == 900 and sum(r["turn"] == 2 for r in got) == 300
+    runs = [(bytes(r["key"]), r["doc"], r["pos"]) for r in got]
+    assert runs == sorted(runs) and [r["part"] for r in got] == sorted(r["part"] for r in got)
+    hot = {r["part"] for r in got if r["turn"] == 2}
+    keys = linededup.common_keys(ordered, 10).collect()
+    assert {r["part"] for r in keys} >= hot and len({bytes(r["key"]) for r in keys}) == 1
+
+
+def test_keep_bitmaps_are_compressed(spark):
+    """Equal bytes are one run, bytes that lose nothing are left out."""
+    text = "\n".join(["same"] * 800 + [f"own {i}" for i in range(800)] + ["same"])
+    df = frame(spark, [(i, text if i == 5 else "same") for i in range(12)])
+    keep = {r["doc"]: [tuple(x) for x in r["keep"]] for r in linededup.line_bitmaps(df).collect()}
+    assert keep[5] == [(0, 100, 255), (200, 1, 128)] and keep[4] == [(0, 1, 128)]
+    got = linededup.drop_lines(df, linededup.line_bitmaps(df)).filter("doc_id = 5").first()
+    assert got["text"] == "\n".join(f"own {i}" for i in range(800)) and got["_n_dropped"] == 801
+
+
 def test_native_operators_run_no_python(spark):
     df = frame(spark, corpus(n=5))
     for out in (license_scan.scan(df), linededup.drop_lines(df, linededup.line_bitmaps(df))):
