@@ -34,7 +34,7 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.packed_pieces(table(spark, sf_dir, "documents"), vocabulary_path())
-    return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "lower_bound")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

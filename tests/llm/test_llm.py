@@ -211,6 +211,32 @@ def test_exchange_saves_bins(spark):
     assert got.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 100
 
 
+def test_exchange_nears_the_global_bound(spark):
+    """Partitions alone use more bins than the bound of all rows; the exchange closes half of the gap at least."""
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, 0, int(n)) for i, n in enumerate(rng.integers(1, 100, 1500))], "id long, piece int, length long")
+    bound = packing.global_bound(rows, 100)
+    got = packing.pack(rows, capacity=100, items=400)
+    alone = packing.pack(rows, capacity=100, items=400, rounds=0)
+    assert got.count() == 1500 and got.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 100
+    used, without = (x.select("sequence_id").distinct().count() for x in (got, alone))
+    assert bound <= used < without and used - bound <= (without - bound) / 2
+    assert got.select("lower_bound").distinct().collect() == [(bound,)]
+    big = spark.createDataFrame([(i, 0, 60) for i in range(300)], "id long, piece int, length long")
+    assert packing.pack(big, capacity=100, items=20).select("sequence_id").distinct().count() == 300 == packing.global_bound(big, 100)
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000 + "x", "\n" * 1_200_000 + "word", "x" * 2_000_000, "é " * 500_000])
+def test_ids_of_long_texts(path, text):
+    assert packing.text_ids(text, path) == packing._library(path).encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_long_white_space(spark, path):
+    got = packing.packed_pieces(frame(spark, [(1, " " * 1_000_000 + "x"), (2, "a b"), (3, None)]), path).collect()
+    n = len(packing._library(path).encode(" " * 1_000_000 + "x", add_special_tokens=False).ids) + 1
+    assert sum(r["length"] for r in got if r["id"] == 1) == n and {r["id"] for r in got} == {1, 2, 3}
+
+
 # 4
 def test_bpe_as_library(spark, path):
     from tokenizers import Tokenizer
