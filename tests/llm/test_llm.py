@@ -136,6 +136,58 @@ def test_decoders():
     assert (media.decode(head(6, -5, 8, 70, 4) + palette.tobytes() + body) == palette[index][:, :, 2::-1]).all()
 
 
+def plain_resize(x, height, width):
+    """Mean over each target cell's area, cell by cell."""
+    from fractions import Fraction as Q
+
+    h, w = x.shape
+    share = lambda i, n, m, j: max(Q(0), min(Q((j + 1) * n, m), i + 1) - max(Q(j * n, m), i))
+    return [[sum(share(i, h, height, a) * share(j, w, width, b) * int(x[i, j]) for i in range(h) for j in range(w)) / Q(h * w, height * width) for b in range(width)] for a in range(height)]
+
+
+def test_hash_and_tile_are_the_definition(monkeypatch):
+    monkeypatch.setattr(media, "STRIP", 7)
+    rng = np.random.default_rng(3)
+    for h, w in [(1, 64), (5, 64), (33, 20), (8, 9)]:
+        x = rng.integers(0, 256, (h, w)).astype(np.uint8)
+        small = plain_resize(x, 8, 9)
+        bits = [round(float(r[i + 1]), 6) > round(float(r[i]), 6) for r in small for i in range(8)]
+        assert media.difference_hash(x[:, :, None]) == np.packbits(bits).tobytes().hex()
+        assert np.allclose(media.area_resize(x[:, :, None], 8, 9), np.array(small, float))
+    data = media.encode_pgm(media.payload_of("some text " * 50)[0])
+    image = media.decode(data)
+    want = np.round(np.array(plain_resize(image[:, :, 0], 32, 32), float)).astype(np.uint8)
+    tile = np.round(media.area_resize(image, 32, 32)).astype(np.uint8)
+    assert (np.abs(tile.astype(int) - want) <= 1).all() and (tile == want).mean() > 0.99
+
+
+def test_samples_are_scaled():
+    assert media.decode(b"P5 3 1 15\n" + bytes([0, 7, 15])).ravel().tolist() == [0, 119, 255]
+    assert media.decode(b"P2 2 1 1000 0 1000").ravel().tolist() == [0, 65535]
+    head = b"BM" + struct.pack("<IHHI", 0, 0, 0, 66) + struct.pack("<IiiHHIIiiII", 40, 2, -1, 1, 32, 3, 0, 0, 0, 0, 0)
+    masks = struct.pack("<III", 0xFF, 0xFF00, 0x3FF0000)  # red lowest, ten bits of blue
+    assert media.decode(head + masks + struct.pack("<II", 0x03FF0201, 0)).tolist() == [[[1, 2, 255], [0, 0, 0]]]
+    head = b"BM" + struct.pack("<IHHI", 0, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 1, 1, 1, 16, 0, 0, 0, 0, 0, 0)
+    assert media.decode(head + struct.pack("<HH", 0x7C1F, 0)).tolist() == [[[255, 0, 255]]]
+
+
+HOSTILE = [b"P5 99999999999 99999999999 255\n", b"P2 1 1 255 99999999999999999999", b"P5 1 1 10\n\xff", b"P2 1 1 255 300", b"P2 1 1 255 -3", b"P6 9 9 0 1", b"P4 9", b"P5", b"BM", b"BM" + b"\xff" * 60, b"BM" + b"\0" * 60,
+           b"BM" + struct.pack("<IHHI", 0, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 2**31 - 1, -(2**31), 1, 32, 0, 0, 0, 0, 0, 0)]
+
+
+def test_hostile_media_are_rows(spark):
+    df = spark.createDataFrame([(i, 0, bytearray(x)) for i, x in enumerate(HOSTILE)], "id long, n_bytes long, media binary")
+    got = media.media_features(df).collect()
+    assert len(got) == len(HOSTILE) and all(r["error"] and r["dhash"] is None and r["media_bytes"] for r in got)
+
+
+def test_long_text_media(spark):
+    rows = [(1, "é" * 1_000_000), (2, " " * 2_000_000), (3, None)]
+    got = {r["id"]: r for r in media.media_features(media.text_media(frame(spark, rows))).collect()}
+    assert [got[i]["samples_bytes"] for i in (1, 2, 3)] == [2_000_000, 2_000_000, 64] and got[2]["height"] == 2_000_000 // 64
+    assert media.text_media(frame(spark, rows).limit(0)).count() == 0
+
+
 def test_bad_media_are_rows(spark, tmp_path):
     df = spark.createDataFrame([(1, 0, None), (2, 0, bytearray(b"nothing")), (3, 0, bytearray(b"P5 9 9 255\n1")), (4, 64, bytearray(media.encode_pgm(b"x" * 64)))], "id long, n_bytes long, media binary")
     got = {r["id"]: r["error"] for r in media.media_features(df).collect()}
