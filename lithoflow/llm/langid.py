@@ -4,11 +4,12 @@ phi(text) is the set of its hashed character 1-, 2- and 3-grams; k(x, y) = |phi(
 A Nystroem map over landmark texts and one-versus-rest kernel ridge regression give one weight per landmark and language;
 texts are scored in batches: presence matrix times landmark matrix, times weights.
 
-Fitted on a bounded sample (``sample`` documents a language, the lowest hashes of the id; of them ``landmarks`` in all).
+Fitted on a bounded sample (``sample`` documents a language, the lowest hashes of id and text; of them ``landmarks`` in all).
 Every document is predicted on its whole text.
 
 Defined cases: null text and text without letters are ``und`` with score 0; so is every text when there is nothing to learn
-from; ties go to the language first in order; equal texts get equal results; extra columns are ignored.
+from; rows of a null id or language are not learnt from; ties go to the language first in order; equal texts get equal
+results, also under repeated or null ids; an empty table gives none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -86,19 +87,29 @@ def fit(rows: list[np.ndarray], langs: list[str], n_landmarks: int = LANDMARKS,
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, n_landmarks: int = LANDMARKS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Fits on at most ``sample`` documents of each language; packed presence bits of these reach the driver."""
+    """Fits on at most ``sample`` documents of each language; packed presence bits of these reach the driver.
+
+    Rows come from a hash threshold that leaves some four times the sample of each language, so that a language of a third of
+    all rows sends few to the task that ranks it; of these, the ``sample`` lowest hashes. Equal rows count once.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL")
-    turn = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.select("id", "lang").withColumn("n", F.row_number().over(turn)).filter(F.col("n") <= sample).select("id").distinct()
+    rows = rows.withColumn("h", F.xxhash64("id", "text"))
+    # a row a language: about how many rows differ, so that repeated rows neither fill nor thin out the sample
+    counts = {r["lang"]: max(1, r["n"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    if not counts:
+        return fit([], [], n_landmarks)
+    limits = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, 4 * sample / n))])
+    few = rows.filter((F.col("h") / F.lit(2.0**64) + 0.5) <= F.element_at(limits, F.col("lang"))).distinct()
+    turn = Window.partitionBy("lang").orderBy("h", "id", "text")
+    chosen = few.withColumn("n", F.row_number().over(turn)).filter(F.col("n") <= sample)
 
     def run(batches):
         for b in batches:
             bits = [presence(t.as_py()) for t in b["text"]]
-            yield pa.record_batch([b["id"], b["lang"], pa.array([None if x is None else np.packbits(x).tobytes() for x in bits], pa.binary())], ["id", "lang", "bits"])
+            yield pa.record_batch([b["h"], b["lang"], pa.array([None if x is None else np.packbits(x).tobytes() for x in bits], pa.binary())], ["h", "lang", "bits"])
 
-    kind = rows.schema["id"].dataType.simpleString()
-    got = [r for r in rows.join(F.broadcast(chosen), "id").mapInArrow(run, f"id {kind}, lang string, bits binary").collect() if r["bits"] is not None]
-    got.sort(key=lambda r: (r["id"], r["lang"], r["bits"]))
+    got = [r for r in chosen.select("h", "lang", "text").mapInArrow(run, "h long, lang string, bits binary").collect() if r["bits"] is not None]
+    got.sort(key=lambda r: (r["h"], r["lang"], r["bits"]))
     return fit([np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool) for r in got], [r["lang"] for r in got], n_landmarks)
 
 
