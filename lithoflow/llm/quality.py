@@ -11,7 +11,8 @@ is bounded by the sample and chance words don't add up to noise in long texts.
 
 Defined cases: null, empty and tokenless texts score 0 like a text of unknown tokens; with several labels for a document
 the lowest grade holds; null labels are ignored; without labelled documents every tail probability is 1 (nothing is
-rejected); extra columns are ignored by ``score_documents`` and kept by ``select_documents``.
+rejected); of a repeated labelled doc_id one text is learnt from (the least feature set) and every row is scored; an empty
+table gives an empty result; extra columns are ignored by ``score_documents`` and kept by ``select_documents``.
 """
 
 from __future__ import annotations
@@ -98,6 +99,24 @@ def _unlike(rows: list[np.ndarray], y: np.ndarray) -> list[int]:
     return out
 
 
+def likelihood(weights: np.ndarray, cuts: np.ndarray, column: np.ndarray, row: np.ndarray, y: np.ndarray, mass: np.ndarray, penalty: float) -> tuple[float, np.ndarray]:
+    """(the negative log likelihood, weighted by mass and with a squared penalty; its slope in the weights and the cuts).
+
+    Document row[i] has the token of weights[column[i]]; cuts are the first threshold and the logarithms of the gaps.
+    """
+    grades = len(cuts) + 1
+    score = np.bincount(row, weights[column], len(y))
+    edges = np.concatenate([[-np.inf], np.cumsum(np.concatenate([cuts[:1], np.exp(cuts[1:])])), [np.inf]])
+    high, low = sigmoid(edges[y + 1] - score), sigmoid(edges[y] - score)
+    p = np.maximum(high - low, 1e-9)
+    d_high, d_low = high * (1 - high) / p * mass, low * (1 - low) / p * mass
+    by_threshold = np.bincount(y, -d_high, grades)[: grades - 1] + np.bincount(y, d_low, grades)[1:]
+    by_cut = np.cumsum(by_threshold[::-1])[::-1]
+    by_cut[1:] *= np.exp(cuts[1:])
+    slope = np.concatenate([np.bincount(column, (d_high - d_low)[row], len(weights)) + penalty * weights, by_cut])
+    return float(-(mass * np.log(p)).sum() + penalty / 2 * (weights**2).sum()), slope
+
+
 def fit(rows: list[np.ndarray], y: np.ndarray, n_grades: int = GRADES, min_df: int = MIN_DF, screen: float = SCREEN, steps: int = 250, rate: float = 0.05, penalty: float = 1e-4) -> OrdinalModel:
     """Full-batch Adam on the cumulative-link likelihood, with the thresholds as a first one and positive gaps."""
     chosen = _unlike(rows, y)
@@ -120,16 +139,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, n_grades: int = GRADES, min_df: i
     mass /= mass.sum()
     moments = [np.zeros(len(known) + n_grades - 1) for _ in range(2)]
     for step in range(1, steps + 1):
-        score = np.bincount(row, weights[column], len(y))
-        thresholds = np.cumsum(np.concatenate([cuts[:1], np.exp(cuts[1:])]))
-        edges = np.concatenate([[-np.inf], thresholds, [np.inf]])
-        high, low = sigmoid(edges[y + 1] - score), sigmoid(edges[y] - score)
-        p = np.maximum(high - low, 1e-9)
-        d_high, d_low = high * (1 - high) / p * mass, low * (1 - low) / p * mass
-        by_threshold = np.bincount(y, -d_high, n_grades)[: n_grades - 1] + np.bincount(y, d_low, n_grades)[1:]
-        by_cut = np.cumsum(by_threshold[::-1])[::-1]
-        by_cut[1:] *= np.exp(cuts[1:])
-        slope = np.concatenate([np.bincount(column, (d_high - d_low)[row], len(known)) + penalty * weights, by_cut])
+        slope = likelihood(weights, cuts, column, row, y, mass, penalty)[1]
         moments[0] += 0.1 * (slope - moments[0])
         moments[1] += 0.01 * (slope**2 - moments[1])
         move = rate * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.99**step)) + 1e-8)
@@ -139,9 +149,9 @@ def fit(rows: list[np.ndarray], y: np.ndarray, n_grades: int = GRADES, min_df: i
 
 
 def train(docs: DataFrame, graded: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", **settings) -> OrdinalModel:
-    """Fits on at most ``sample`` labelled documents; only their hashed features reach the driver."""
+    """Fits on at most ``sample`` labelled documents; only their hashed features reach the driver, one set for each doc_id."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    chosen = graded.join(texts.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "grade", F.xxhash64("doc_id").alias("_h")).orderBy("_h", "doc_id").limit(sample)
+    chosen = graded.join(texts.select("doc_id"), "doc_id", "left_semi").select("doc_id", "grade", F.xxhash64("doc_id").alias("_h")).orderBy("_h", "doc_id").limit(sample)
 
     def run(batches):
         for b in batches:
@@ -149,7 +159,8 @@ def train(docs: DataFrame, graded: DataFrame, sample: int = SAMPLE, id_col: str
             yield pa.record_batch([b["doc_id"], b["grade"], pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "grade", "features"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    got = texts.join(F.broadcast(chosen.select("doc_id", "grade")), "doc_id").mapInArrow(run, f"doc_id {kind}, grade int, features binary").collect()
+    found = texts.join(F.broadcast(chosen.select("doc_id", "grade")), "doc_id").mapInArrow(run, f"doc_id {kind}, grade int, features binary")
+    got = found.groupBy("doc_id", "grade").agg(F.min("features").alias("features")).collect()  # one row a chosen id, however often it is repeated
     got.sort(key=lambda r: (r["doc_id"], r["features"]))
     return fit([np.frombuffer(r["features"], np.int32) for r in got], np.array([r["grade"] for r in got], int), **settings)
 
