@@ -10,8 +10,9 @@ A window without any shingle of a template has no band in common with one, whate
 dropped before their bands are computed; this changes no result.
 
 Defined cases: null and empty texts, and texts of under five words, match nothing; repeated rows of a document count once;
-a template of under five words is an error; no templates or documents: an empty result; extra columns are ignored. The
-templates are a small fixed list: their shingles and bands are broadcast (``MOST_TEMPLATE_WORDS`` words in all at most).
+rows with a null id are one document; a template of under five words is an error; no templates or documents: an empty
+result; extra columns are ignored. Templates of ``MOST_TEMPLATE_WORDS`` words in all at most are broadcast; beyond that,
+bands meet by a shuffled join on (block, band) and nothing is dropped beforehand, with the same result.
 """
 
 from __future__ import annotations
@@ -56,9 +57,7 @@ def bands(window: Column) -> Column:
 
 
 def template_rows(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """(license, shingles, m, block, bands): a small, fixed table."""
-    if sum(len(t.split()) for t in templates.values()) > MOST_TEMPLATE_WORDS:
-        raise ValueError("templates are broadcast and must stay small")
+    """(license, shingles, m, block, bands) of each template."""
     rows = spark.createDataFrame([*templates.items()], "license string, text string")
     rows = rows.select("license", F.array_distinct(shingle_row(F.col("text"))).alias("shingles")).withColumn("m", F.size("shingles"))
     return rows.withColumn("block", F.pow(F.lit(2), F.ceil(F.round(F.log2(F.col("m") * 1.25), 9))).cast("int")).withColumn("bands", bands(F.col("shingles")))
@@ -70,16 +69,22 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, contained: floa
     containment is that of the best window, first_shingle the start of the first window that holds the template.
     """
     spark = docs.sparkSession
+    large = sum(len(t.split()) for t in templates.values()) > MOST_TEMPLATE_WORDS
     if any(len(t.split()) < SHINGLE for t in templates.values()):
         raise ValueError("a template needs five words")
     if not templates:
         kind = docs.schema[id_col].dataType.simpleString()
         return spark.createDataFrame([], f"id {kind}, license string, containment double, n_windows long, first_shingle long")
-    known = template_rows(spark, templates).collect()
-    fixed = spark.createDataFrame(known)
-    of_template = sorted({h for r in known for h in r["shingles"]})
-    blocks = sorted({r["block"] for r in known})
-    hits = lambda a: F.exists(a, lambda x: x.isin(of_template))
+    known = template_rows(spark, templates)
+    if large:
+        blocks = sorted(r["block"] for r in known.select("block").distinct().collect())  # powers of two
+        hits = lambda a: F.size(a) > 0
+    else:
+        held = known.collect()
+        known = spark.createDataFrame(held)
+        of_template = sorted({h for r in held for h in r["shingles"]})
+        blocks = sorted({r["block"] for r in held})
+        hits = lambda a: F.exists(a, lambda x: x.isin(of_template))
     rows = docs.select(F.col(id_col).alias("id"), shingle_row(F.col(text_col)).alias("h")).filter(hits(F.col("h")))
 
     def windows(size: int) -> Column:
@@ -88,7 +93,14 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, contained: floa
         return F.filter(every, lambda x: hits(x["sh"]))
 
     cut = rows.select("id", F.explode(F.concat(*[windows(b) for b in blocks])).alias("x")).select("id", "x.*").withColumn("found", bands(F.col("sh")))
-    retrieved = cut.alias("w").join(F.broadcast(fixed.alias("t")), (F.col("w.block") == F.col("t.block")) & F.arrays_overlap("w.found", "t.bands"))
+    if large:  # equal bands meet by a shuffle; a window and a template that share several meet once
+        cut = cut.withColumn("text", F.xxhash64("sh"))
+        asked = cut.select("id", "block", "at", "text", "sh", F.explode("found").alias("band"))
+        met = asked.join(known.select("license", "block", F.explode("bands").alias("band")), ["block", "band"])
+        met = met.groupBy("id", "block", "at", "text", "license").agg(F.first("sh").alias("sh"))
+        retrieved = met.alias("w").join(known.select("license", "m", "shingles").alias("t"), "license")
+    else:
+        retrieved = cut.alias("w").join(F.broadcast(known.alias("t")), (F.col("w.block") == F.col("t.block")) & F.arrays_overlap("w.found", "t.bands"))
     share = (F.size(F.array_intersect("w.sh", "t.shingles")) / F.col("m")).alias("share")
     verified = retrieved.select("id", "license", (F.col("at") * F.col("w.block")).cast("long").alias("start"), share).filter(F.col("share") >= contained)
     return verified.groupBy("id", "license").agg(F.round(F.max("share"), 6).alias("containment"), F.count_distinct("start").alias("n_windows"), F.min("start").alias("first_shingle"))
