@@ -12,7 +12,7 @@ partition-wise union-find and star contraction. Nothing is collected but counts.
 
 Band settings: 40 bands of 6 rows find a pair of similarity 0.8 with probability 1 - (1 - 0.8^6)^40 > 0.99999.
 
-Defined cases: null, empty and blank texts have the empty set and link with nothing; texts of fewer words than a shingle
+Defined cases: ids are integers (others are an error of the cast); an empty table gives an empty result; null, empty and blank texts have the empty set and link with nothing; texts of fewer words than a shingle
 are one shingle of all their words; rows with a null id stay single; rows that repeat an id are one document with the
 union of links; extra columns are ignored.
 """

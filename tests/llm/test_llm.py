@@ -88,6 +88,17 @@ def test_license_scan(spark):
         license_scan.scan(frame(spark, rows), {"x": "too short"})
 
 
+def test_many_templates_are_joined(spark, monkeypatch):
+    """Beyond the broadcast limit, a shuffled join on bands gives the same rows."""
+    rng = random.Random(2)
+    rows = corpus(n=10) + [(400 + n, prose(rng, rng.randint(0, 40)) + " " + t + " " + prose(rng, 30)) for n, t in enumerate(license_scan.TEMPLATES.values())]
+    rows += [(None, license_scan.TEMPLATES["mit"]), (None, license_scan.TEMPLATES["isc"]), (450, "word " * 200_000 + license_scan.TEMPLATES["isc"])]
+    few = sorted(map(tuple, license_scan.scan(frame(spark, rows)).collect()), key=str)
+    monkeypatch.setattr(license_scan, "MOST_TEMPLATE_WORDS", 10)
+    many = license_scan.scan(frame(spark, rows))
+    assert sorted(map(tuple, many.collect()), key=str) == few and len(few) > 12 and not re.search("NestedLoop|Cartesian", many._jdf.queryExecution().toString())
+
+
 # 2
 def test_media_of_texts(spark):
     rows = corpus(n=20)
@@ -504,6 +515,56 @@ def test_quality_held_out(spark):
     assert np.mean(good) > 0.95 and np.mean(bad) > 0.75 and np.mean(toxic) > 0.85  # 4,000 labels; better with more
 
 
+def test_slope_of_the_likelihood():
+    """Against differences, at random points; and the fit ends near a point without slope, below the model without weights."""
+    rng = np.random.default_rng(3)
+    n, tokens = 60, 7
+    column, row = rng.integers(0, tokens, 200), rng.integers(0, n, 200)
+    y, mass = rng.integers(0, 4, n), rng.random(n)
+    for _ in range(5):
+        point = rng.standard_normal(tokens + 3) * 0.7
+        at = lambda x: quality.likelihood(x[:tokens], x[tokens:], column, row, y, mass, 0.01)
+        step = np.eye(len(point)) * 1e-6
+        assert np.allclose(at(point)[1], [(at(point + e)[0] - at(point - e)[0]) / 2e-6 for e in step], atol=1e-6)
+        assert np.isclose(at(point)[0], plain_likelihood(point, tokens, column, row, y, mass, 0.01))
+
+
+def plain_likelihood(point, tokens, column, row, y, mass, penalty):
+    """Document by document, from P(grade <= k) = 1 / (1 + exp(score - threshold[k]))."""
+    cuts, edges = point[tokens:], [point[tokens]]
+    for c in cuts[1:]:
+        edges.append(edges[-1] + np.exp(c))
+    total = penalty / 2 * (point[:tokens] ** 2).sum()
+    for d in range(len(y)):
+        score = sum(point[c] for c, r in zip(column, row) if r == d)
+        upto = [0.0, *(1 / (1 + np.exp(score - e)) for e in edges), 1.0]
+        total -= mass[d] * np.log(upto[y[d] + 1] - upto[y[d]])
+    return total
+
+
+def test_fit_is_the_optimum(monkeypatch):
+    """Small steps end where the likelihood has no slope, which its convexity makes the optimum."""
+    rng = np.random.default_rng(4)
+    rows, y = [], []
+    for i in range(300):
+        g = i % 3
+        rows.append(np.unique(np.array([10 + (g if rng.random() < 0.8 else rng.integers(0, 3)), *(100 + rng.integers(0, 5, 2)), 10_000 + i], np.int32)))
+        y.append(g)
+    seen = []
+    plain = quality.likelihood
+    monkeypatch.setattr(quality, "likelihood", lambda *a: seen.append((a, plain(*a))) or seen[-1][1])
+    quality.fit(rows, np.array(y), steps=6000, rate=0.002, screen=0.0)
+    args, (last, slope) = seen[-1]
+    assert np.abs(slope).max() < 2e-3 and last < seen[0][1][0] * 0.8
+
+
+def test_repeated_labelled_ids(spark):
+    docs = spark.createDataFrame([(i % 40, f"word{i % 2} other{i % 7} more") for i in range(400)] + [(7, "again")] * 500, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, quality.grades(labels))
+    assert quality.score_documents(docs, model).count() == 900
+
+
 def test_only_copies_are_left_out_of_the_fit():
     rng = np.random.default_rng(2)
     rows = [np.unique(rng.zipf(1.3, 300) % (1 << 24)).astype(np.int32) for _ in range(400)]
@@ -605,6 +666,31 @@ def test_language_edges(spark):
     assert {r["lang_pred"] for r in langid.predict(docs, langid.train(docs.limit(0))).collect()} == {"und"}
 
 
+def test_all_landmarks_are_exact_kernel_ridge():
+    """With every document a landmark, the Nystroem map gives the kernel ridge regression itself."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(letters) for _ in range(30)) for letters in ("abcd ", "cdef ", "efgh ") for _ in range(8)]
+    langs = [x for x in "xyz" for _ in range(8)]
+    rows = [langid.presence(t) for t in texts]
+    model = langid.fit(rows, langs, n_landmarks=len(rows), ridge=0.05)
+    k = np.array([[(a & b).sum() / np.sqrt(a.sum() * b.sum()) for b in rows] for a in rows])
+    rank = (np.linalg.eigvalsh(k) > 1e-8 * np.linalg.eigvalsh(k).max()).sum()
+    y = np.where(np.array(langs)[:, None] == np.array(["x", "y", "z"])[None, :], 1.0, -1.0)
+    alpha = np.linalg.solve(k + 0.05 * len(rows) / rank * np.eye(len(rows)), y)
+    fresh = ["abca dc", "fefe dcd", "hgh e fg"]
+    values = np.array([[(langid.presence(t) & b).sum() / np.sqrt(langid.presence(t).sum() * b.sum()) for b in rows] for t in fresh]) @ alpha
+    label, score = model.predict(fresh)
+    assert label == ["xyz"[i] for i in values.argmax(1)] and np.allclose(score, np.clip((1 + values.max(1)) / 2, 0, 1), atol=1e-3)
+
+
+def test_language_of_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "the same text of words", "aa"), (1, "eine andere Sprache hier", "bb")] * 300 + [(None, "the text", "aa"), (2, "x", None)], "doc_id long, text string, lang string")
+    model = langid.train(docs, sample=5)
+    got = langid.predict(docs, model).collect()
+    assert len(got) == 602 and {r["lang_pred"] for r in got} <= {"aa", "bb"} and model.landmarks.shape[0] == 2
+    assert langid.predict(docs.limit(0), model).count() == 0
+
+
 def test_kernel_is_the_spectrum_kernel():
     a, b = langid.presence("abc ab"), langid.presence("bca")
     assert langid.kernel(np.stack([a]), np.stack([b]).astype(np.float32) / np.sqrt(b.sum()))[0, 0] == pytest.approx((a & b).sum() / np.sqrt(a.sum() * b.sum()))
