@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithoflow.llm import linededup, minhash, packing, quality, queries, suffix
-from lithoflow.llm.common import shared_dir, table, written
+from lithoflow.llm.common import drop_folder, drop_written, shared_dir, table, written, written_so_far
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Stages run Python; no SQL expresses them. tests/llm holds brute-force versions.
@@ -64,10 +64,20 @@ STAGES = [("quality", quality_stage), ("line_dedup", line_stage), ("near_duplica
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over documents; each is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages in order over documents; each is written to the shared folder and read again.
+
+    Once a stage is written, its input's folder and the tables made on the way are deleted. Packing writes what it reads of its
+    input before it returns, so its input goes too; the tables behind the result stay until the session's JVM ends.
+    """
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
+        mark, path = written_so_far(), f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        drop_written(spark, mark)
+        if last:
+            drop_folder(spark, last)
+        docs, last = spark.read.parquet(path), path
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    if last:
+        drop_folder(spark, last)
+    return packed
