@@ -56,6 +56,28 @@ def test_stages(spark, tmp_path):
     assert sorted(map(tuple, P.run(spark, d).select("doc_id", "piece", "length", "ids_crc32").collect())) == sorted(map(tuple, packed.select("doc_id", "piece", "length", "ids_crc32").collect()))
 
 
+def test_run_leaves_no_stage_behind(spark, tmp_path):
+    import glob
+    import urllib.parse
+
+    from lithoflow.llm.common import shared_dir
+
+    folder = urllib.parse.urlparse(shared_dir(spark)).path
+    before = {*glob.glob(f"{folder}/*")}
+    got = P.run(spark, tables(spark, tmp_path))
+    left = [f.rsplit("/", 1)[1].split("-")[0] for f in {*glob.glob(f"{folder}/*")} - before]
+    assert got.count() > 100 and {*left} <= {"pieces", "packed", "repacked"}
+
+
+def test_stages_of_nothing(spark, tmp_path):
+    d = tables(spark, tmp_path)
+    docs = spark.read.parquet(f"{d}/documents.parquet").limit(0)
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, d)
+        assert out.columns == P.COLUMNS and out.count() == 0
+    assert P.STAGES[-1][1](spark, docs, d).count() == 0
+
+
 def test_quality_uses_labels(spark, tmp_path):
     d = tables(spark, tmp_path)
     docs = spark.read.parquet(f"{d}/documents.parquet")
