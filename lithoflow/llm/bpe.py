@@ -7,8 +7,9 @@ token of its prefix's encoding. It is the one token that ends the prefix and may
 cache of the worker.
 
 Words come from the vocabulary's published split pattern; the strings of added tokens are taken out first, as the
-tokenizers library does. Defined cases: null text is the empty text and has no ids; equal texts have equal ids; lone
-surrogates can't occur in Spark strings; extra columns are ignored.
+tokenizers library does. Defined cases: null text is the empty text and has no ids; equal texts have equal ids; repeated
+rows are rows each; an empty table gives none; words of any length are encoded in time in proportion to it (those of over
+``LONG`` bytes with an automaton of all tokens); lone surrogates can't occur in Spark strings; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from .common import byte_sizes, slices
 
 #: Fixed value: the split pattern of the byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_WORDS = 400_000
+CACHE_WORDS, LONG = 400_000, 64
 NEVER = 1 << 40
 
 
@@ -45,7 +46,9 @@ class _Vocabulary:
         vocab = file["model"]["vocab"]
         self.id_of = {raw(s): i for s, i in vocab.items()}
         self.bytes_of = {i: b for b, i in self.id_of.items()}
+        self.size_of = {i: len(b) for b, i in self.id_of.items()}
         self.longest = max(map(len, self.id_of))
+        self._automaton = None
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.made: dict[int, int] = {}
@@ -61,6 +64,18 @@ class _Vocabulary:
         self.fitting: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
 
+    def automaton(self):
+        """Finds the tokens within a word's bytes, as Latin-1 characters."""
+        if self._automaton is None:
+            import ahocorasick
+
+            found = ahocorasick.Automaton()
+            for raw, i in self.id_of.items():
+                found.add_word(raw.decode("latin-1"), i)
+            found.make_automaton()
+            self._automaton = found
+        return self._automaton
+
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The tokens at one edge of a token while it is merged, first byte first: (token, rank of the merge that ends it)."""
         out, until = [], NEVER
@@ -130,7 +145,9 @@ class Encoder:
             n = min(len(raw), len(before))
             shared = next((i for i in range(n) if raw[i] != before[i]), n)
             del states[shared + 1 :]
-            for end in range(shared + 1, len(raw) + 1):
+            if len(raw) > LONG:
+                self._long_states(raw, states)
+            for end in range(len(states), len(raw) + 1):
                 for start in range(end - longest if end > longest else 0, end):
                     token = id_of.get(raw[start:end])
                     if token is None:
@@ -151,6 +168,19 @@ class Encoder:
             out[word] = np.array(ids[::-1], "<u4").tobytes()
         return out
 
+    def _long_states(self, raw: bytes, states: list[tuple[int, int]]) -> None:
+        """Adds the states of a long word's bytes. An automaton names the tokens that end at each byte, longest first, in place of a
+        lookup for each start."""
+        v, sizes = self.vocabulary, self.vocabulary.size_of
+        automaton = v.automaton()
+        for at, token in automaton.iter(raw.decode("latin-1"), max(0, len(states) - v.longest)):
+            end = at + 1
+            if end != len(states):
+                continue
+            start = end - sizes[token]
+            if v.fits(states[start][1], token) if start else v.merges_whole(token):
+                states.append((start, token))
+
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit bytes."""
         v, parts = self.vocabulary, []

@@ -318,6 +318,22 @@ def test_bpe_as_library(spark, path):
     assert bpe.encode(frame(spark, [(1, None)]), path).first()["ids"] == []
 
 
+@pytest.mark.parametrize("text", ["x" * 300_000, " " * 200_000 + "x", "ab" * 30_000 + "c" * 65, "=-" * 5000, "é" * 40_000, "日本語" * 30_000, "".join(random.Random(5).choices("etaoinshr", k=60_000))])
+def test_long_words_as_library(path, text):
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    e = bpe.Encoder(path)
+    assert np.frombuffer(e.encode_batch([text])[0], "<u4").tolist() == want
+    shared = [text[:-1], text, text + "x", text[: len(text) // 2]]  # prefixes share their states
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.Encoder(path).encode_batch(shared)][1] == want
+
+
+def test_bpe_of_nothing(spark, path):
+    assert bpe.encode(frame(spark, [(1, "a")]).limit(0), path).count() == 0
+    assert [list(r["ids"]) for r in bpe.encode(frame(spark, [(1, "a b"), (1, "a b"), (None, "a b")]), path).collect()] == [bpe.encode(frame(spark, [(1, "a b")]), path).first()["ids"]] * 3
+
+
 def test_cache_overflow_changes_nothing(path, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 3)
     e = bpe.Encoder(path)
