@@ -6,15 +6,17 @@ places and meet in one bucket. Documents are dealt to blocks of bounded size onc
 0. Copies of a whole text lose it all and take no further part (a group by checksum).
 1. Each block tells every bucket its anchors (31 bits each; one bit says that the block has it in two documents).
 2. Buckets answer with a bit for each anchor: found in another document too. A wrong yes only costs time.
-3. Blocks send the strings around those anchors, as merged fragments, to the buckets.
-4. Buckets sort the suffixes of the fragments by deep-shallow sorting: multikey quicksort on words to ``SHALLOW`` bytes, then
-   blind tries (words equal in a whole group are skipped, the first that differs branches; all groups of a level at once)
-   order what still ties. Suffixes equal over ``span`` bytes form a class; its smallest document keeps its string.
-5. Blocks take the spans that come back out of their documents.
+3. Blocks send the strings around those anchors, as merged fragments, to the buckets: each distinct fragment once, with the
+   smallest document that has it. Where they occur stays with the block.
+4. Buckets sort the suffixes of all fragments by deep-shallow sorting: multikey quicksort on words to ``SHALLOW`` bytes (a
+   word a level, by one sort), then blind tries (words equal in a whole group are skipped, the first that differs branches;
+   all groups of a level at once, nodes are not kept) order what still ties. Suffixes equal over ``span`` bytes form a
+   class; its smallest document keeps its string. Blocks are told the runs of a fragment that have a smaller document.
+5. Blocks take the spans that follow out of their documents.
 
-Common passages cost their occurrences, not pairs; equal fragments are sorted once.
+A passage in a third of all rows costs its bucket one fragment a block, whatever its occurrences.
 
-Defined cases: null is the empty text; texts under ``span`` bytes lose nothing; rows with a null id are compared with none
+Defined cases: ids are integers; null is the empty text; texts under ``span`` bytes lose nothing; rows with a null id are compared with none
 and lose nothing; rows of equal ids are one document to each other (neither is smaller); a removal may cut a character, whose
 rest ``kept_text`` drops; an empty table gives an empty result; extra columns are ignored, except
 those named in ``carry``, which each row gets back as they were.
@@ -31,6 +33,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 SPAN, KMER, BLOCK, BUCKET, CHUNK, SHALLOW = 50, 20, 4 << 20, 5 << 20, 1 << 20, 16
 
 
@@ -201,57 +205,103 @@ def equal_classes(data: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray
 
 
 def _settle(rows: list[tuple[int, bytes]], span: int):
-    """Spans to remove, from the fragments of a bucket: (block, document's number in it, start, end) arrays."""
-    ids, number, start, length, middle, block, bodies = [], [], [], [], [], [], []
+    """Of the fragments of a bucket, the runs of strings that documents smaller than a fragment's own hold too: (block, fragment's
+    number in it, start and end in the fragment, the smallest such document) arrays."""
+    least, number, length, block, bodies = [], [], [], [], []
     for b, blob in rows:
         raw = _unsqueeze(blob)
-        n = struct.unpack_from("<I", raw)[0]
-        ids.append(np.frombuffer(raw, np.int64, n, 4))
-        number.append(np.frombuffer(raw, np.int32, n, 4 + 8 * n))
-        start.append(np.frombuffer(raw, np.int32, n, 4 + 12 * n))
-        length.append(np.frombuffer(raw, np.uint8, n, 4 + 16 * n))
-        middle.append(np.frombuffer(raw, np.uint8, n, 4 + 17 * n))
+        n, first = struct.unpack_from("<II", raw)
+        least.append(np.frombuffer(raw, np.int64, n, 8))
+        number.append(first + np.arange(n, dtype=np.int64))
+        length.append(np.frombuffer(raw, np.uint8, n, 8 + 8 * n))
         block.append(np.full(n, b))
-        bodies.append(raw[4 + 18 * n :])
-    ids, number, start, length, middle, block = (np.concatenate(x) for x in (ids, number, start, length, middle, block))
-    length, body = length.astype(np.int64), b"".join(bodies)
-    ends = np.cumsum(length).tolist()
-    seen: dict[bytes, int] = {}
-    piece = np.fromiter((seen.setdefault(body[e - n : e], len(seen)) for e, n in zip(ends, length.tolist(), strict=True)), np.int64, len(ends))
-    least = np.full(len(seen), np.iinfo(np.int64).max)
-    np.minimum.at(least, piece, ids)
-    size = np.array([len(x) for x in seen])
-    data = np.frombuffer(b"".join(seen), np.uint8)
-    # fragments that no other shares the anchor with are one class as they are; the strings of the others are sorted
-    begin, anchor = np.cumsum(size) - size, np.zeros(len(seen), np.int64)
-    anchor[piece] = middle
-    _, kin = np.unique(words_at(data)[begin + anchor], return_inverse=True)
-    sorted_ = np.flatnonzero(np.bincount(kin)[kin] > 1)
-    strings = (size - span + 1)[sorted_]
-    of = np.repeat(sorted_, strings)
+        bodies.append(raw[8 + 9 * n :])
+    least, number, length, block = (np.concatenate(x) for x in (least, number, length, block))
+    # equal fragments of several blocks are one, of the smallest document
+    kinds, piece = _distinct(b"".join(bodies), length.astype(np.int64))
+    lowest = np.full(len(kinds), np.iinfo(np.int64).max)
+    np.minimum.at(lowest, piece, least)
+    size = np.array([len(x) for x in kinds])
+    data = np.frombuffer(b"".join(kinds), np.uint8)
+    strings, begin = size - span + 1, np.cumsum(size) - size
+    of = np.repeat(np.arange(len(kinds)), strings)
     inner = np.arange(len(of)) - np.repeat(np.cumsum(strings) - strings, strings)
     label = equal_classes(data, begin[of] + inner, span)
-    order = np.argsort(label, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], label[order][1:] != label[order][:-1]])) if len(of) else np.zeros(0, int)
-    smaller = np.zeros(len(of), bool)
-    if len(of):
-        lowest = np.minimum.reduceat(least[of[order]], first)
-        smaller[order] = np.repeat(lowest, np.diff(np.concatenate([first, [len(of)]]))) < least[of[order]]
-    whole = ids > least[piece]
-    out = [(block[whole], number[whole], start[whole], start[whole] + length[whole])]
-    # strings of a fragment's smallest document that a smaller one has in another fragment: runs of them
-    edge = smaller & ~np.concatenate([[False], smaller[:-1] & (of[1:] == of[:-1])])
-    stop = smaller & ~np.concatenate([smaller[1:] & (of[1:] == of[:-1]), [False]])
-    run_of, run_from, run_to = of[edge], inner[edge], inner[stop] + span
-    runs = np.bincount(run_of, minlength=len(seen))
-    some = np.flatnonzero(~whole & (runs[piece] > 0))
-    if len(some):
-        many = runs[piece[some]]
-        rank = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        pick = np.repeat((np.cumsum(runs) - runs)[piece[some]], many) + rank
+    holder = np.full(int(label.max()) + 1 if len(label) else 0, np.iinfo(np.int64).max)
+    np.minimum.at(holder, label, lowest[of])  # the smallest document of each class
+    found = holder[label]
+    # runs of neighbouring strings of a fragment with the same holder
+    new = np.concatenate([[True], (of[1:] != of[:-1]) | (found[1:] != found[:-1])]) if len(of) else np.zeros(0, bool)
+    edge = np.flatnonzero(new)
+    stop = np.concatenate([edge[1:], [len(of)]]) - 1 if len(edge) else edge
+    run_of, run_from, run_to, run_id = of[edge], inner[edge], inner[stop] + span, found[edge]
+    runs = np.bincount(run_of, minlength=len(kinds))
+    many = runs[piece]
+    pick = np.repeat((np.cumsum(runs) - runs)[piece], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    who = np.repeat(np.arange(len(piece)), many)
+    told = run_id[pick] < least[who]
+    who, pick = who[told], pick[told]
+    return block[who], number[who], run_from[pick], run_to[pick], run_id[pick]
+
+
+def _distinct(body: bytes, length: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct fragments of a body, and which of them each is."""
+    seen: dict[bytes, int] = {}
+    ends = np.cumsum(length).tolist()
+    piece = np.fromiter((seen.setdefault(body[e - n : e], len(seen)) for e, n in zip(ends, length.tolist(), strict=True)), np.int64, len(ends))
+    return [*seen], piece
+
+
+def _block_fragments(scans, key: np.ndarray, shared: np.ndarray, own: np.ndarray, buckets: int, span: int):
+    """The distinct fragments around a block's shared anchors in order of their buckets, as (bucket, smallest document, length, body)
+    arrays and one body, and their occurrences, as (fragment, document's number, start) arrays."""
+    found, bodies = [], []
+    for data, low, high, doc, h, start, _ in scans:
+        k = _keys(h, buckets)
+        hit = np.flatnonzero(shared[np.searchsorted(key, k)])
+        length = high[hit] + span - low[hit]
+        index = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(low[hit], length)
+        bodies.append(data[index].tobytes())
+        found.append(((k[hit] >> np.uint64(31)).astype(np.int64), doc[hit].astype(np.int64), start[hit].astype(np.int64), length))
+    if not found:
+        return None
+    bucket, doc, start, length = (np.concatenate(x) for x in zip(*found, strict=True))
+    if not len(bucket):
+        return None
+    kinds, piece = _distinct(b"".join(bodies), length)
+    least, place = np.full(len(kinds), np.iinfo(np.int64).max), np.zeros(len(kinds), np.int64)
+    np.minimum.at(least, piece, own[doc])
+    place[piece] = bucket
+    order = np.argsort(place, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return place[order], least[order], [kinds[i] for i in order.tolist()], (rank[piece], doc, start)
+
+
+def _taken(ids: list, answers: list[bytes], own: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document's number, start, end) of what a block's documents lose, from its fragments' occurrences and the buckets' runs."""
+    if not own:
+        return tuple(np.zeros((3, 0), np.int64))
+    held = np.frombuffer(_unsqueeze(own[0]), np.int64)
+    n, m = held[:2].tolist()
+    least, size = held[2 : 2 + n], held[2 + n : 2 + 2 * n]
+    piece, doc, start = held[2 + 2 * n :].reshape(3, m)
+    mine = np.array([0 if i is None else i for i in ids], np.int64)[doc]
+    later = mine > least[piece]  # a smaller document of the block has the fragment
+    out = [(doc[later], start[later], start[later] + size[piece[later]])]
+    if answers:
+        number, low, high, holder = np.concatenate([np.frombuffer(_unsqueeze(x), np.int64).reshape(4, -1) for x in answers], 1)
+        order = np.argsort(number, kind="stable")
+        number, low, high, holder = number[order], low[order], high[order], holder[order]
+        first, last = (np.searchsorted(number, piece, side) for side in ("left", "right"))
+        some = np.flatnonzero(~later & (last > first))
+        many = (last - first)[some]
+        pick = np.repeat(first[some], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         who = np.repeat(some, many)
-        out.append((block[who], number[who], start[who] + run_from[pick], start[who] + run_to[pick]))
-    return [np.concatenate(x) for x in zip(*out, strict=True)]
+        lost = holder[pick] < mine[who]
+        who, pick = who[lost], pick[lost]
+        out.append((doc[who], start[who] + low[pick], start[who] + high[pick]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def repeated_passages(docs: DataFrame, span: int = SPAN, kmer: int = KMER, text_out: bool = False, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -259,7 +309,9 @@ def repeated_passages(docs: DataFrame, span: int = SPAN, kmer: int = KMER, text_
     if not 8 <= kmer <= span <= 128 or span < 16:
         raise ValueError("span must be 16 to 128 bytes and kmer 8 to span")
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-    blocks, buckets = max(1, -(-total // BLOCK)), max(1, -(-total // BUCKET))
+    # a passage that every block has costs its bucket some 100 bytes a block: blocks and buckets grow with the root of the input
+    most = int((100 * total) ** 0.5)
+    blocks, buckets = max(1, -(-total // max(BLOCK, most))), max(1, -(-total // max(BUCKET, most)))
     held = [f"carry_{k}" for k in range(len(carry))]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(h) for c, h in zip(carry, held, strict=True)]).withColumn("block", F.pmod(F.xxhash64(F.coalesce(F.col("id"), F.xxhash64("text"))), F.lit(blocks)).cast("long"))
     dealt = rows.groupBy("block")
@@ -294,41 +346,31 @@ def repeated_passages(docs: DataFrame, span: int = SPAN, kmer: int = KMER, text_
         for b, i, j in zip(*_by_bucket(key), strict=True):
             shared[i:j] = np.unpackbits(np.frombuffer(bits[int(b)], np.uint8), count=j - i).astype(bool)
         own = np.array([0 if i is None else i for i in ids], np.int64)
-        found, bodies = [], []
-        for data, low, high, doc, h, start, middle in scans:
-            k = _keys(h, buckets)
-            hit = np.flatnonzero(shared[np.searchsorted(key, k)])
-            length = high[hit] + span - low[hit]
-            index = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(low[hit], length)
-            bodies.append(data[index])
-            found.append((k[hit] >> np.uint64(31), own[doc[hit]], doc[hit].astype(np.int32), start[hit].astype(np.int32), length, middle[hit].astype(np.uint8)))
-        out = []
-        if found:
-            bucket, i_, number, start, length, middle = (np.concatenate(x) for x in zip(*found, strict=True))
-            body, at = np.concatenate(bodies), np.cumsum(length) - length
-            order = np.argsort(bucket, kind="stable")
-            edges = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]])) if len(order) else []
-            for part in np.split(order, edges[1:]) if len(order) else []:
-                n = length[part]
-                index = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at[part], n)
-                out.append((int(bucket[part[0]]), _squeeze(np.array([len(part)], np.uint32), i_[part], number[part], start[part], n.astype(np.uint8), middle[part], body[index])))
-        return pa.table([pa.array([b for b, _ in out], pa.int64()), pa.array(np.full(len(out), left["block"][0].as_py() if len(left) else 0, np.int64)), pa.array([x for _, x in out], pa.binary())], ["bucket", "block", "blob"])
+        block, out = left["block"][0].as_py() if len(left) else 0, []
+        if held_ := _block_fragments(scans, key, shared, own, buckets, span):
+            bucket, least, kinds, (piece, doc, start) = held_
+            size = np.array([len(x) for x in kinds], np.uint8)
+            edges = [*np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist(), len(bucket)]
+            for i, j in zip(edges, edges[1:]):
+                out.append((int(bucket[i]), _squeeze(np.array([j - i, i], np.uint32), least[i:j], size[i:j], np.frombuffer(b"".join(kinds[i:j]), np.uint8))))
+            # what the block itself needs in the end: no bucket
+            out.append((None, _squeeze(np.array([len(kinds), len(piece)], np.int64), least, size.astype(np.int64), piece, doc, start)))
+        return pa.table([pa.array([b for b, _ in out], pa.int64()), pa.array(np.full(len(out), block, np.int64)), pa.array([x for _, x in out], pa.binary())], ["bucket", "block", "blob"])
 
     def settle(group: pa.Table) -> pa.Table:
-        block, number, start, end = _settle([(b.as_py(), x.as_py()) for b, x in zip(group["block"], group["blob"], strict=True)], span)
-        order = np.lexsort((start, number, block))
+        block, number, start, end, holder = _settle([(b.as_py(), x.as_py()) for b, x in zip(group["block"], group["blob"], strict=True)], span)
+        order = np.argsort(block, kind="stable")
         out = []
         edges = np.flatnonzero(np.concatenate([[True], block[order][1:] != block[order][:-1]])) if len(order) else []
         for part in np.split(order, edges[1:]) if len(order) else []:
-            out.append((int(block[part[0]]), _squeeze(number[part].astype(np.int32), start[part].astype(np.int32), end[part].astype(np.int32))))
+            out.append((int(block[part[0]]), _squeeze(*[x[part].astype(np.int64) for x in (number, start, end, holder)])))
         return pa.table([pa.array([b for b, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["block", "spans"])
 
     def take_out(left: pa.Table, right: pa.Table) -> pa.Table:
         known, right = told_copies(right)
         ids, texts, copy = _documents(left, known)
         rows_of = _ordered(left)
-        spans = [np.frombuffer(_unsqueeze(x.as_py()), np.int32).reshape(3, -1) for x in right["spans"]]
-        number, start, end = np.concatenate(spans, 1) if spans else np.zeros((3, 0), np.int32)
+        number, start, end = _taken(ids, [x.as_py() for x in right["spans"] if x.is_valid], [x.as_py() for x in right["own"] if x.is_valid])
         order = np.argsort(number, kind="stable")
         number, start, end = number[order], start[order], end[order]
         cuts = np.searchsorted(number, np.arange(len(ids) + 1))
@@ -367,8 +409,10 @@ def repeated_passages(docs: DataFrame, span: int = SPAN, kmer: int = KMER, text_
 
     told = dealt.cogroup(copies.groupBy("copy_block")).applyInArrow(tell, "bucket long, block long, blob binary")
     answers = with_copies(told.groupBy("bucket").applyInArrow(answer, "block long, bucket long, bits binary"), "bucket long, bits binary")
-    sent = dealt.cogroup(answers.groupBy("copy_block")).applyInArrow(send, "bucket long, block long, blob binary")
-    spans = with_copies(sent.groupBy("bucket").applyInArrow(settle, "block long, spans binary"), "spans binary")
+    sent = written(dealt.cogroup(answers.groupBy("copy_block")).applyInArrow(send, "bucket long, block long, blob binary"), "fragments")
+    runs = sent.filter("bucket IS NOT NULL").groupBy("bucket").applyInArrow(settle, "block long, spans binary").withColumn("own", F.lit(None).cast("binary"))
+    own = sent.filter("bucket IS NULL").select("block", F.lit(None).cast("binary").alias("spans"), F.col("blob").alias("own"))
+    spans = with_copies(runs.unionByName(own), "spans binary, own binary")
     kinds_out = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * text_out
     kinds_out += "".join(f", {h} {docs.schema[c].dataType.simpleString()}" for c, h in zip(carry, held, strict=True))
     return dealt.cogroup(spans.groupBy("copy_block")).applyInArrow(take_out, kinds_out).withColumnsRenamed(dict(zip(held, carry, strict=True)))

@@ -638,6 +638,19 @@ def test_repeated_passages(spark, monkeypatch, small):
     assert sorted(map(tuple, suffix.repeated_passages(frame(spark, rows)).collect()), key=str) == repeats(rows)
 
 
+def test_a_common_passage_is_sent_once_a_block():
+    rng = random.Random(8)
+    passage = prose(rng, 60)
+    texts = [(f"{i} " * 20 + passage + f" {i}" * 20).encode() for i in range(300)]
+    own = np.arange(300) + 7
+    scans = [*suffix._scanned(list(own), texts, [False] * 300, 50, 20)]
+    key, twice = suffix._block_anchors(list(own), scans, 3)
+    bucket, least, kinds, (piece, doc, _) = suffix._block_fragments(scans, key, twice, own, 3, 50)
+    inside = [k for k, n in zip(kinds, least) if k in passage.encode()]
+    assert len(inside) == len({*inside}) <= len(passage) // 5 and (least[[k in passage.encode() for k in kinds]] == 7).all()
+    assert len(piece) > 250 * len(inside) and (np.diff(bucket) >= 0).all() and {*doc} == {*range(300)}
+
+
 def test_repeated_passages_of_nothing(spark):
     assert suffix.repeated_passages(frame(spark, [(1, "a")]).limit(0)).count() == 0
     assert [tuple(r)[:4] for r in suffix.repeated_passages(frame(spark, [(1, None)])).collect()] == [(1, 0, 0, 0)]
