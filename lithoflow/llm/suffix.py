@@ -33,8 +33,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-
 SPAN, KMER, BLOCK, BUCKET, CHUNK, SHALLOW = 50, 20, 4 << 20, 5 << 20, 1 << 20, 16
 
 
@@ -88,9 +86,11 @@ def _ordered(table: pa.Table) -> list[tuple]:
 def _documents(table: pa.Table, copies: pa.Table) -> tuple[list, list[bytes], list[bool]]:
     """Ids, bytes and whether a smaller document has the same text, of a block's rows, in the order of ``_ordered``."""
     rows = _ordered(table)
-    copied = set(zip(copies["copy_id"].to_pylist(), copies["copy_sum"].to_pylist(), strict=True))
-    some, texts = {i for i, _ in copied}, [(r[1] or "").encode() for r in rows]
-    return [r[0] for r in rows], texts, [i in some and (i, hashlib.md5(t).hexdigest()) in copied for (i, *_), t in zip(rows, texts, strict=True)]
+    first = dict(zip(copies["copy_sum"].to_pylist(), copies["copy_id"].to_pylist(), strict=True))
+    texts = [(r[1] or "").encode() for r in rows]
+    if not first:
+        return [r[0] for r in rows], texts, [False] * len(rows)
+    return [r[0] for r in rows], texts, [i is not None and first.get(hashlib.md5(t).digest(), i) < i for (i, *_), t in zip(rows, texts, strict=True)]
 
 
 def _scanned(ids: list, texts: list[bytes], copy: list[bool], span: int, k: int):
@@ -282,10 +282,10 @@ def _taken(ids: list, answers: list[bytes], own: list[bytes]) -> tuple[np.ndarra
     """(document's number, start, end) of what a block's documents lose, from its fragments' occurrences and the buckets' runs."""
     if not own:
         return tuple(np.zeros((3, 0), np.int64))
-    held = np.frombuffer(_unsqueeze(own[0]), np.int64)
-    n, m = held[:2].tolist()
-    least, size = held[2 : 2 + n], held[2 + n : 2 + 2 * n]
-    piece, doc, start = held[2 + 2 * n :].reshape(3, m)
+    raw = _unsqueeze(own[0])
+    n, m = np.frombuffer(raw, np.int64, 2).tolist()
+    least, rest = np.frombuffer(raw, np.int64, n, 16), np.frombuffer(raw, np.int32, n + 3 * m, 16 + 8 * n).astype(np.int64)
+    size, (piece, doc, start) = rest[:n], rest[n:].reshape(3, m)
     mine = np.array([0 if i is None else i for i in ids], np.int64)[doc]
     later = mine > least[piece]  # a smaller document of the block has the fragment
     out = [(doc[later], start[later], start[later] + size[piece[later]])]
@@ -315,9 +315,11 @@ def repeated_passages(docs: DataFrame, span: int = SPAN, kmer: int = KMER, text_
     held = [f"carry_{k}" for k in range(len(carry))]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(h) for c, h in zip(carry, held, strict=True)]).withColumn("block", F.pmod(F.xxhash64(F.coalesce(F.col("id"), F.xxhash64("text"))), F.lit(blocks)).cast("long"))
     dealt = rows.groupBy("block")
-    summed = rows.filter((F.octet_length("text") >= span) & F.col("id").isNotNull()).select("id", "block", F.md5("text").alias("sum"))
-    first = summed.groupBy("sum").agg(F.min("id").alias("first"))
-    copies = summed.join(first, "sum").filter("id > first").select(*[F.col(c).alias(f"copy_{c}") for c in ("block", "id", "sum")])
+    summed = rows.filter((F.octet_length("text") >= span) & F.col("id").isNotNull()).select("id", "block", F.unhex(F.md5("text")).alias("sum"))
+    # a row a block and text: however many copies there are, a text costs one row a block from here on
+    per_block = summed.groupBy("sum", "block").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    first = per_block.groupBy("sum").agg(F.min("least").alias("copy_id"), F.max("most").alias("last")).filter("last > copy_id").drop("last")
+    copies = per_block.join(first, "sum").filter("most > copy_id").select(F.col("block").alias("copy_block"), "copy_id", F.col("sum").alias("copy_sum"))
 
     def tell(group: pa.Table, known: pa.Table) -> pa.Table:
         ids, texts, copy = _documents(group, known)
@@ -353,18 +355,24 @@ def repeated_passages(docs: DataFrame, span: int = SPAN, kmer: int = KMER, text_
             edges = [*np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist(), len(bucket)]
             for i, j in zip(edges, edges[1:]):
                 out.append((int(bucket[i]), _squeeze(np.array([j - i, i], np.uint32), least[i:j], size[i:j], np.frombuffer(b"".join(kinds[i:j]), np.uint8))))
-            # what the block itself needs in the end: no bucket
-            out.append((None, _squeeze(np.array([len(kinds), len(piece)], np.int64), least, size.astype(np.int64), piece, doc, start)))
-        return pa.table([pa.array([b for b, _ in out], pa.int64()), pa.array(np.full(len(out), block, np.int64)), pa.array([x for _, x in out], pa.binary())], ["bucket", "block", "blob"])
+            # what the block itself needs in the end; a bucket hands it through
+            out.append((block % buckets, _squeeze(np.array([len(kinds), len(piece)], np.int64), least, *[x.astype(np.int32) for x in (size, piece, doc, start)])))
+        own_ = [n == len(out) - 1 for n in range(len(out))]
+        return pa.table([pa.array([b for b, _ in out], pa.int64()), pa.array(np.full(len(out), block, np.int64)), pa.array(own_, pa.bool_()), pa.array([x for _, x in out], pa.binary())], ["bucket", "block", "own", "blob"])
 
     def settle(group: pa.Table) -> pa.Table:
+        through, group = group.filter(group["own"]), group.filter(pc.invert(group["own"]))
+        kept = [through["block"].to_pylist(), [None] * through.num_rows, through["blob"].to_pylist()]
+        if not group.num_rows:
+            return pa.table([pa.array(x, k) for x, k in zip(kept, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["block", "spans", "own"])
         block, number, start, end, holder = _settle([(b.as_py(), x.as_py()) for b, x in zip(group["block"], group["blob"], strict=True)], span)
         order = np.argsort(block, kind="stable")
         out = []
         edges = np.flatnonzero(np.concatenate([[True], block[order][1:] != block[order][:-1]])) if len(order) else []
         for part in np.split(order, edges[1:]) if len(order) else []:
             out.append((int(block[part[0]]), _squeeze(*[x[part].astype(np.int64) for x in (number, start, end, holder)])))
-        return pa.table([pa.array([b for b, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["block", "spans"])
+        columns = [[b for b, _ in out] + kept[0], [x for _, x in out] + kept[1], [None] * len(out) + kept[2]]
+        return pa.table([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["block", "spans", "own"])
 
     def take_out(left: pa.Table, right: pa.Table) -> pa.Table:
         known, right = told_copies(right)
@@ -405,14 +413,12 @@ def repeated_passages(docs: DataFrame, span: int = SPAN, kmer: int = KMER, text_
         """other and the copies of each block in one table, for a cogroup."""
         kinds = dict(c.split(" ") for c in columns.split(", "))
         blank = copies.select("copy_block", "copy_id", "copy_sum", *[F.lit(None).cast(k).alias(c) for c, k in kinds.items()])
-        return other.select(F.col("block").alias("copy_block"), F.lit(None).cast("long").alias("copy_id"), F.lit(None).cast("string").alias("copy_sum"), *kinds).unionByName(blank)
+        return other.select(F.col("block").alias("copy_block"), F.lit(None).cast("long").alias("copy_id"), F.lit(None).cast("binary").alias("copy_sum"), *kinds).unionByName(blank)
 
     told = dealt.cogroup(copies.groupBy("copy_block")).applyInArrow(tell, "bucket long, block long, blob binary")
     answers = with_copies(told.groupBy("bucket").applyInArrow(answer, "block long, bucket long, bits binary"), "bucket long, bits binary")
-    sent = written(dealt.cogroup(answers.groupBy("copy_block")).applyInArrow(send, "bucket long, block long, blob binary"), "fragments")
-    runs = sent.filter("bucket IS NOT NULL").groupBy("bucket").applyInArrow(settle, "block long, spans binary").withColumn("own", F.lit(None).cast("binary"))
-    own = sent.filter("bucket IS NULL").select("block", F.lit(None).cast("binary").alias("spans"), F.col("blob").alias("own"))
-    spans = with_copies(runs.unionByName(own), "spans binary, own binary")
+    sent = dealt.cogroup(answers.groupBy("copy_block")).applyInArrow(send, "bucket long, block long, own boolean, blob binary")
+    spans = with_copies(sent.groupBy("bucket").applyInArrow(settle, "block long, spans binary, own binary"), "spans binary, own binary")
     kinds_out = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * text_out
     kinds_out += "".join(f", {h} {docs.schema[c].dataType.simpleString()}" for c, h in zip(carry, held, strict=True))
     return dealt.cogroup(spans.groupBy("copy_block")).applyInArrow(take_out, kinds_out).withColumnsRenamed(dict(zip(held, carry, strict=True)))
