@@ -51,6 +51,12 @@ def block_of_metadata(key: str, order: Sequence[str], kind: Column) -> Column:
     return F.coalesce(F.sum(kind.isin("block", "reset").cast("int")).over(ended), F.lit(0))
 
 
+def extent(cells: DataFrame, keys: Sequence[str], row: str, column: str, value: str) -> DataFrame:
+    """(keys, top, bottom, first, last, n_cells): the rectangle around the non-null cells of each grid."""
+    held = cells.filter(F.col(value).isNotNull())
+    return held.groupBy(*keys).agg(F.min(row).alias("top"), F.max(row).alias("bottom"), F.min(column).alias("first"), F.max(column).alias("last"), F.count(F.lit(1)).alias("n_cells"))
+
+
 def overlap(ax0, ay0, ax1, ay1, bx0, by0, bx1, by1) -> Column:
     """the shared area as a part of the first box's area (at least 1)."""
     w = F.greatest(F.least(ax1, bx1) - F.greatest(ax0, bx0), F.lit(0.0))
@@ -58,6 +64,17 @@ def overlap(ax0, ay0, ax1, ay1, bx0, by0, bx1, by1) -> Column:
     return w * h / F.greatest((ax1 - ax0) * (ay1 - ay0), F.lit(1.0))
 
 
+def in_cells(rows: DataFrame, spans: Sequence[tuple[str, str, str]], size: float) -> DataFrame:
+    """rows once for every cell that they touch: for each (low, high, name), column name counts cells of a size between two columns.
+
+    Joining two such tables on the cells turns an overlap join into an equi join; rows that share several cells meet in each.
+    """
+    for low, high, name in spans:
+        first, last = F.floor(F.col(low) / size), F.floor(F.greatest(F.col(low), F.col(high)) / size)
+        rows = rows.withColumn(name, F.explode(F.sequence(first, last)))
+    return rows
+
+
 def tolerant(a: Column, b: Column, relative: float = 1e-9, absolute: float | Column = 1e-12) -> Column:
     """Equal within the larger of a relative and an absolute tolerance."""
     bound = F.greatest(relative * F.greatest(F.abs(a), F.abs(b)), absolute if isinstance(absolute, Column) else F.lit(absolute))

@@ -9,12 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import carried, overlap
+from .joins import carried, in_cells, overlap
 
 PAGE = ["case_id", "page"]
 BOX = ["x0", "top", "x1", "bottom"]
 #: Fixed values of the layout rules: points between a table and its caption, between two caption lines, heading length.
 CAPTION_GAP, SECOND_GAP, HEADING_CHARS, EXCLUDED_SHARE, LOW_CONFIDENCE = 24.0, 18.0, 40, 0.5, 0.7
+#: Cells of the overlap joins: points, and characters.
+CELL, SPAN = 64.0, 1000
+ACROSS, DOWN = ("x0", "x1", "cx"), ("top", "bottom", "cy")
 DROPPED = ["header", "footer", "page_number", "number", "header_image", "footer_image"]
 
 
@@ -23,8 +26,10 @@ def _boxes(prefix: str) -> list[Column]:
 
 
 def excluded_lines(lines: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Lines less than half under any excluded box of their page."""
-    hit = lines.alias("l").join(boxes.alias("b"), [F.col(f"l.{c}") == F.col(f"b.{c}") for c in PAGE]).filter(overlap(*_boxes("l"), *_boxes("b")) >= EXCLUDED_SHARE)
+    """Lines less than half under any excluded box of their page. Lines and boxes meet in the cells that both touch."""
+    keys = [*PAGE, "cx", "cy"]
+    own = in_cells(lines.select(*PAGE, "line_id", *BOX), [ACROSS, DOWN], CELL).alias("l")
+    hit = own.join(in_cells(boxes.select(*PAGE, *BOX), [ACROSS, DOWN], CELL).alias("b"), [F.col(f"l.{c}") == F.col(f"b.{c}") for c in keys]).filter(overlap(*_boxes("l"), *_boxes("b")) >= EXCLUDED_SHARE)
     return lines.join(hit.select(*[F.col(f"l.{c}").alias(c) for c in [*PAGE, "line_id"]]).distinct(), [*PAGE, "line_id"], "left_anti")
 
 
@@ -58,18 +63,23 @@ def ocr_regions(regions: DataFrame, words: DataFrame) -> DataFrame:
     """Regions without page furniture, typed, with the mean score of the words inside and review flags."""
     kept = regions.filter(~F.col("label").isin(DROPPED))
     kind = F.when(F.col("label") == "table", "table").when(F.col("label").isin("image", "figure", "chart"), "figure").otherwise("text")
-    cx, cy = (F.col("w.x0") + F.col("w.x1")) / 2, (F.col("w.top") + F.col("w.bottom")) / 2
-    inside = (F.col("r.case_id") == F.col("w.case_id")) & (F.col("r.page") == F.col("w.page")) & cx.between(F.col("r.x0"), F.col("r.x1")) & cy.between(F.col("r.top"), F.col("r.bottom"))
-    scored = kept.alias("r").join(words.alias("w"), inside, "left").groupBy("r.case_id", "r.page", "r.region_id").agg(F.avg("w.score").alias("confidence"))
+    # a word has its centre in one cell of its page, so a word and a region meet once at most
+    keys = [*PAGE, "cx", "cy"]
+    centre = words.select(*PAGE, ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("top") + F.col("bottom")) / 2).alias("y"), "score")
+    centre = centre.withColumn("cx", F.floor(F.col("x") / CELL)).withColumn("cy", F.floor(F.col("y") / CELL)).alias("w")
+    own = in_cells(kept.select(*PAGE, "region_id", *BOX), [ACROSS, DOWN], CELL).alias("r")
+    met = own.join(centre, [F.col(f"r.{c}") == F.col(f"w.{c}") for c in keys]).filter(F.col("x").between(F.col("r.x0"), F.col("r.x1")) & F.col("y").between(F.col("r.top"), F.col("r.bottom")))
+    scored = met.groupBy("r.case_id", "r.page", "r.region_id").agg(F.avg("w.score").alias("confidence"), F.count(F.lit(1)).alias("n_words"))
     flag = F.when(F.col("label") == "formula", F.array().cast("array<string>")).when(F.col("confidence").isNull(), F.array(F.lit("OCR_CONFIDENCE_MISSING"))).when(F.col("confidence") < LOW_CONFIDENCE, F.array(F.lit("OCR_LOW_CONFIDENCE"))).otherwise(F.array().cast("array<string>"))
-    return kept.join(scored, [*PAGE, "region_id"]).withColumn("kind", kind).withColumn("flags", flag)
+    return kept.join(scored, [*PAGE, "region_id"], "left").withColumn("kind", kind).withColumn("flags", flag)
 
 
 def reading_order(blocks: DataFrame) -> DataFrame:
     """Order within a page: the extractor's (seq) if two boxes lie side by side, else top to bottom."""
-    a, b = blocks.alias("a"), blocks.alias("b")
+    strips = in_cells(blocks.select(*PAGE, "seq", *BOX), [DOWN], CELL)  # boxes side by side share a strip of the page
+    a, b = strips.alias("a"), strips.alias("b")
     beside = (F.col("a.seq") < F.col("b.seq")) & (F.least("a.bottom", "b.bottom") > F.greatest("a.top", "b.top")) & ((F.col("a.x1") <= F.col("b.x0")) | (F.col("b.x1") <= F.col("a.x0")))
-    pages = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in PAGE]).filter(beside).select(*[F.col(f"a.{c}").alias(c) for c in PAGE]).distinct().withColumn("columns", F.lit(True))
+    pages = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*PAGE, "cy"]]).filter(beside).select(*[F.col(f"a.{c}").alias(c) for c in PAGE]).distinct().withColumn("columns", F.lit(True))
     rows = blocks.join(pages, PAGE, "left")
     key = F.when(F.col("columns"), F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.col("seq").alias("c"))).otherwise(F.struct(F.col("top").alias("a"), F.col("x0").alias("b"), F.col("seq").alias("c")))
     return rows.withColumn("reading_order", F.row_number().over(Window.partitionBy(*PAGE).orderBy(key))).drop("columns")
@@ -114,7 +124,10 @@ def offsets(lines: DataFrame) -> DataFrame:
 
 def chunk_regions(chunks: DataFrame, lines: DataFrame) -> DataFrame:
     """Box and clipped span of each chunk (start, end) on each page that its lines lie on."""
-    hit = chunks.alias("c").join(lines.alias("l"), (F.col("c.case_id") == F.col("l.case_id")) & (F.col("l.end") > F.col("c.start")) & (F.col("l.start") < F.col("c.end")))
+    cells = lambda df: in_cells(df.withColumn("first", F.floor(F.col("start") / SPAN)), [("start", "end", "cell")], SPAN)
+    meet = (F.col("c.case_id") == F.col("l.case_id")) & (F.col("c.cell") == F.col("l.cell")) & (F.col("l.end") > F.col("c.start")) & (F.col("l.start") < F.col("c.end"))
+    # a chunk and a line that share several cells meet in the first of them alone
+    hit = cells(chunks).alias("c").join(cells(lines).alias("l"), meet).filter(F.col("c.cell") == F.greatest("c.first", "l.first"))
     return hit.groupBy("c.case_id", "c.chunk_no", "l.page").agg(
         F.min("l.x0").alias("x0"), F.min("l.top").alias("top"), F.max("l.x1").alias("x1"), F.max("l.bottom").alias("bottom"), F.min(F.greatest("l.start", "c.start")).alias("start"), F.max(F.least("l.end", "c.end")).alias("end"),
     )

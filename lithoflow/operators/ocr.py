@@ -28,9 +28,10 @@ def to_points(box: list[Column], pixels: tuple[Column, Column], page: tuple[Colu
 
 
 def clamped(box: list[Column], width: Column, height: Column) -> Column:
-    """A box cut to the image; null if nothing is left."""
+    """A box cut to the image; null if it is null or nothing is left."""
     low, high = [F.greatest(c, F.lit(0.0)) for c in box[:2]], [F.least(box[2], width), F.least(box[3], height)]
-    return F.when((high[0] > low[0]) & (high[1] > low[1]), F.struct(low[0].alias("x0"), low[1].alias("top"), high[0].alias("x1"), high[1].alias("bottom")))
+    whole = reduce(Column.__and__, [c.isNotNull() for c in box])  # least and greatest pass over nulls
+    return F.when(whole & (high[0] > low[0]) & (high[1] > low[1]), F.struct(low[0].alias("x0"), low[1].alias("top"), high[0].alias("x1"), high[1].alias("bottom")))
 
 
 def confidence(value: Column) -> Column:

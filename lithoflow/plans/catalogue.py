@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import canonical, checks, matching
+from . import canonical, checks, matching, pages
 
-MODULES = [matching, checks, canonical]
+MODULES = [matching, checks, canonical, pages]
 
 
 def _all() -> dict:

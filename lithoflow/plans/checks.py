@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import units
 from ..operators import checks as C
-from ..operators import graph, joins, retrieve
+from ..operators import graph, joins, layout, retrieve
+from ..sources import sinks
 from .common import table, values
 
 ALLOWED = [("NATION_0", "BUILDING"), ("NATION_1", None), ("NATION_7", "MACHINERY"), (None, "HOUSEHOLD")]
@@ -170,16 +171,17 @@ def issue_order(spark, sf_dir):
 
 
 def trace_summary(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations")
-    return rows.groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("n_calls"), F.count_if(F.col("role") == "assistant").alias("n_answers"), F.sum(F.coalesce(F.when(F.col("role") == "user", F.length("text")), F.lit(0))).alias("asked_chars"),
-        F.sum(F.coalesce(F.when(F.col("role") == "assistant", F.length("text")), F.lit(0))).alias("answered_chars"), F.round(F.avg(F.length("text")), 3).alias("mean_chars"),
+    """Turns as calls; answers succeed, later turns repeat the one before, a system turn states no tokens."""
+    role, chars = F.col("role"), F.length("text")
+    calls = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("case_id"), F.when(role == "assistant", "success").otherwise("error").alias("outcome"), F.when(F.col("turn") > 0, F.col("turn") - 1).alias("retry_of"),
+        F.when(role == "user", chars).alias("input_tokens"), F.when(role == "assistant", chars).alias("output_tokens"), (chars / 100.0).alias("seconds"),
     )
+    return sinks.trace_summary(calls)
 
 
 def retry_lineage(spark, sf_dir):
-    order = Window.partitionBy("conv_id", "role").orderBy("turn")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.lag("turn").over(order).alias("retry_of"), F.row_number().over(order).alias("attempt"))
+    return sinks.lineage(table(spark, sf_dir, "conversations"), ["conv_id", "role"], "turn").select("conv_id", "turn", "role", "retry_of", "attempt")
 
 
 def structural_diff(spark, sf_dir):
@@ -202,16 +204,17 @@ def tolerant_compare(spark, sf_dir):
     return line.filter(~joins.tolerant(want, got)).select(*LINE, "l_extendedprice")
 
 
+def _boxes(spark, sf_dir):
+    """Every part as a box on one page."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", (F.col("p_partkey") * 37 % 1000).cast("double").alias("x0"), (F.col("p_partkey") * 91 % 1000).cast("double").alias("top"))
+    return part.select(F.lit("c").alias("case_id"), F.lit(1).alias("page"), "*")
+
+
 def spatial_overlap_anti(spark, sf_dir):
-    """Boxes not covered to a half by any excluded box. Boxes meet in grid cells, so the join is an equi join."""
-    part = table(spark, sf_dir, "part")
-    box = part.select("p_partkey", (F.col("p_partkey") * 37 % 1000).cast("double").alias("x0"), (F.col("p_partkey") * 91 % 1000).cast("double").alias("y0"), F.col("p_size").cast("double").alias("s"))
-    box = box.select("p_partkey", "x0", "y0", (F.col("x0") + F.col("s")).alias("x1"), (F.col("y0") + F.col("s")).alias("y1"))
-    lines, bad = box.filter("p_partkey % 10 <> 0"), box.filter("p_partkey % 10 = 0").select(F.col("p_partkey").alias("b"), *[F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")])
-    cells = lambda df, p: df.select("*", F.explode(F.sequence(F.floor(F.col(f"{p}x0") / 64), F.floor(F.col(f"{p}x1") / 64))).alias("cx")).select("*", F.explode(F.sequence(F.floor(F.col(f"{p}y0") / 64), F.floor(F.col(f"{p}y1") / 64))).alias("cy"))
-    ratio = joins.overlap(*[F.col(c) for c in ("x0", "y0", "x1", "y1", "bx0", "by0", "bx1", "by1")])
-    covered = cells(lines, "").join(cells(bad, "b"), ["cx", "cy"]).filter(ratio >= 0.5).select("p_partkey").distinct()
-    return lines.join(covered, "p_partkey", "left_anti").select("p_partkey", "x0", "y0")
+    """Boxes not covered to a half by any excluded box."""
+    box = _boxes(spark, sf_dir).withColumn("x1", F.col("x0") + F.col("p_size")).withColumn("bottom", F.col("top") + F.col("p_size")).withColumnRenamed("p_partkey", "line_id")
+    left = layout.excluded_lines(box.filter("line_id % 10 <> 0"), box.filter("line_id % 10 = 0"))
+    return left.select(F.col("line_id").alias("p_partkey"), "x0", F.col("top").alias("y0"))
 
 
 SQL_SPATIAL = """
@@ -222,18 +225,19 @@ SELECT p_partkey, x0, y0 FROM b l WHERE p_partkey % 10 <> 0 AND NOT EXISTS (SELE
 
 
 def point_in_region_mean(spark, sf_dir):
-    """Mean score of the points inside each region (inclusive), by grid cells."""
-    part = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * 37 % 1000).alias("x"), (F.col("p_partkey") * 91 % 1000).alias("y"), "p_retailprice", "p_size")
-    points = part.filter("p_partkey % 20 <> 0").withColumn("cx", F.expr("x div 50")).withColumn("cy", F.expr("y div 50"))
-    regions = part.filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("region"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 3 * F.col("p_size")).alias("x1"), (F.col("y") + 3 * F.col("p_size")).alias("y1"))
-    cells = regions.select("*", F.explode(F.sequence(F.expr("x0 div 50"), F.expr("x1 div 50"))).alias("cx")).select("*", F.explode(F.sequence(F.expr("y0 div 50"), F.expr("y1 div 50"))).alias("cy"))
-    inside = cells.join(points, ["cx", "cy"]).filter("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1")
-    return inside.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p_retailprice"), 4).alias("mean"))
+    """Mean score of the words whose centre lies in each region (inclusive), and the regions' flags."""
+    part = _boxes(spark, sf_dir)
+    words = part.filter("p_partkey % 20 <> 0").select("case_id", "page", "x0", "top", F.col("x0").alias("x1"), F.col("top").alias("bottom"), F.col("p_retailprice").alias("score"))
+    label = F.when(F.col("p_partkey") % 100 == 0, "footer").when(F.col("p_partkey") % 60 == 0, "table").otherwise("text")
+    regions = part.filter("p_partkey % 20 = 0").select("case_id", "page", F.col("p_partkey").alias("region_id"), label.alias("label"), "x0", "top", (F.col("x0") + 3 * F.col("p_size")).alias("x1"), (F.col("top") + 3 * F.col("p_size")).alias("bottom"))
+    found = layout.ocr_regions(regions, words)
+    return found.select(F.col("region_id").alias("region"), "kind", F.coalesce("n_words", F.lit(0)).alias("n"), F.round("confidence", 4).alias("mean"), F.array_join("flags", ",").alias("flags"))
 
 
 SQL_POINT = """
 WITH b AS (SELECT p_partkey, p_partkey * 37 % 1000 AS x, p_partkey * 91 % 1000 AS y, p_retailprice, p_size FROM part)
-SELECT r.p_partkey AS region, count(*) AS n, round(avg(p.p_retailprice), 4) AS mean FROM b r JOIN b p ON r.p_partkey % 20 = 0 AND p.p_partkey % 20 <> 0 AND p.x BETWEEN r.x AND r.x + 3 * r.p_size AND p.y BETWEEN r.y AND r.y + 3 * r.p_size GROUP BY 1
+SELECT r.p_partkey AS region, CASE WHEN r.p_partkey % 60 = 0 THEN 'table' ELSE 'text' END AS kind, count(p.p_partkey) AS n, round(avg(p.p_retailprice), 4) AS mean, CASE WHEN count(p.p_partkey) = 0 THEN 'OCR_CONFIDENCE_MISSING' WHEN avg(p.p_retailprice) < 0.7 THEN 'OCR_LOW_CONFIDENCE' ELSE '' END AS flags
+FROM b r LEFT JOIN b p ON p.p_partkey % 20 <> 0 AND p.x BETWEEN r.x AND r.x + 3 * r.p_size AND p.y BETWEEN r.y AND r.y + 3 * r.p_size WHERE r.p_partkey % 20 = 0 AND r.p_partkey % 100 <> 0 GROUP BY 1
 """
 
 
@@ -283,7 +287,7 @@ QUERIES = {
     "review_gate": (review_gate, "SELECT doc_id, count(c) AS n_matches, CASE WHEN count(c) = 0 OR bool_or(c < 0.8) THEN 'review_required' ELSE 'ready' END AS status FROM (SELECT doc_id, round((0.7 + 0.25 * quality - 0.1 * toxic)::DOUBLE, 6) AS c FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY 1"),
     "level_short_circuit": (level_short_circuit, f"WITH {SQL_ISSUES} SELECT case_id, layer, severity, code, path FROM o QUALIFY level <= coalesce(min(CASE WHEN severity = 'error' THEN level END) OVER (PARTITION BY case_id), 4)"),
     "issue_order": (issue_order, f"WITH {SQL_ISSUES} SELECT case_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY CASE severity WHEN 'error' THEN 0 ELSE 1 END, level, code, path) AS INTEGER) AS ordinal, severity, layer, code, path FROM o"),
-    "trace_summary": (trace_summary, "SELECT conv_id, count(*) AS n_calls, count_if(role = 'assistant')::BIGINT AS n_answers, sum(CASE WHEN role = 'user' THEN length(text) ELSE 0 END)::BIGINT AS asked_chars, sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS answered_chars, round(avg(length(text)), 3) AS mean_chars FROM conversations GROUP BY 1"),
+    "trace_summary": (trace_summary, "SELECT conv_id AS case_id, count(*) AS n_calls, count_if(role = 'assistant')::BIGINT AS n_success, count_if(turn > 0)::BIGINT AS n_retries, sum(CASE WHEN role = 'user' THEN length(text) ELSE 0 END)::BIGINT AS input_tokens, sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS output_tokens, round(sum(length(text) / 100.0::DOUBLE), 3) AS seconds FROM conversations GROUP BY 1"),
     "retry_lineage": (retry_lineage, "SELECT conv_id, turn, role, lag(turn) OVER w AS retry_of, CAST(row_number() OVER w AS INTEGER) AS attempt FROM conversations WINDOW w AS (PARTITION BY conv_id, role ORDER BY turn)"),
     "structural_diff": (structural_diff, SQL_DIFF),
     "tolerant_compare": (tolerant_compare, "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem WHERE l_linenumber = 3"),

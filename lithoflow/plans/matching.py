@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import joins
 from ..operators import retrieve as R
 from ..sources import blocks
 from .common import ALIASES, SCOPES, sql_contains, sql_normal, sql_plain, table, values
@@ -82,8 +83,8 @@ def table_rectangularity(spark, sf_dir):
 
 def bounding_rectangle(spark, sf_dir):
     """Extent of the non-null cells of a grid."""
-    cells = table(spark, sf_dir, "part").select("p_brand", F.col("p_size").alias("r"), (F.col("p_partkey") % 13).alias("c"), F.when(F.col("p_retailprice") > 950, F.col("p_retailprice")).alias("v")).filter("v IS NOT NULL")
-    return cells.groupBy("p_brand").agg(F.min("r").alias("top"), F.max("r").alias("bottom"), F.min("c").alias("first"), F.max("c").alias("last"), F.count(F.lit(1)).alias("n_cells"))
+    cells = table(spark, sf_dir, "part").select("p_brand", F.col("p_size").alias("r"), (F.col("p_partkey") % 13).alias("c"), F.when(F.col("p_retailprice") > 950, F.col("p_retailprice")).alias("v"))
+    return joins.extent(cells, ["p_brand"], "r", "c", "v")
 
 
 def normalise_terms(spark, sf_dir):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -32,6 +32,12 @@ def trace_summary(calls: DataFrame) -> DataFrame:
     )
 
 
+def lineage(calls: DataFrame, chain: list[str], order: str) -> DataFrame:
+    """The calls of a chain (a block, a role) numbered from 1, each with the call that it repeats."""
+    window = Window.partitionBy(*chain).orderBy(order)
+    return calls.withColumn("retry_of", F.lag(order).over(window)).withColumn("attempt", F.row_number().over(window))
+
+
 def review_summary(decisions: DataFrame) -> DataFrame:
     """A08."""
     return decisions.groupBy("case_id").agg(*[F.count_if(F.col("action") == a).alias(f"n_{a}") for a in ("include", "exclude", "accept")])
