@@ -176,7 +176,7 @@ def ocr_boxes(spark, sf_dir):
 SQL_BOXES = """
 WITH p AS (SELECT p_partkey AS k, p_partkey % 97 AS x, p_partkey % 89 AS y, greatest(p_size, 0)::DOUBLE AS s, p_partkey % 11 <> 0 AS ok, CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 5 <> 0 THEN least(greatest(p_retailprice / 1500 - 0.1, 0), 1) END AS score FROM part),
 b AS (SELECT *, CASE WHEN ok THEN x + s END AS x1, CASE WHEN ok THEN greatest(y + 1, y + s) END AS bottom FROM p)
-SELECT k AS p_partkey, x1 AS box_x1, CASE WHEN least(x1, 100) > x AND least(bottom, 80) > y THEN least(bottom, 80)::DOUBLE END AS cut_bottom,
+SELECT k AS p_partkey, x1 AS box_x1, CASE WHEN ok AND least(x1, 100) > x AND least(bottom, 80) > y THEN least(bottom, 80)::DOUBLE END AS cut_bottom,
   CASE WHEN x1 > x AND bottom > y AND x1 * 6 <= 600 + 1e-6 AND bottom * 10 <= 800 + 1e-6 THEN round(x1 * 6, 6) END AS pt_x1, CASE WHEN x1 > x AND bottom > y AND x1 * 6 <= 600 + 1e-6 AND bottom * 10 <= 800 + 1e-6 THEN round(y * 10.0::DOUBLE, 6) END AS pt_top,
   round(score, 6) AS score, concat_ws(',', CASE WHEN k % 2 = 0 THEN 'ROTATED' END, CASE WHEN k % 13 = 0 THEN NULL WHEN score IS NULL THEN 'OCR_CONFIDENCE_MISSING' WHEN score < 0.7 THEN 'OCR_LOW_CONFIDENCE' END) AS flags FROM b
 """
@@ -210,10 +210,10 @@ def ocr_payloads(spark, sf_dir):
 SQL_PAYLOADS = """
 WITH p AS (SELECT p_partkey AS k, p_partkey // 10 AS page, p_partkey % 10 AS spot FROM part),
 y AS (SELECT page, spot, CASE WHEN spot = 0 THEN k::VARCHAR ELSE 't' || k END AS id FROM p WHERE (spot < 2 AND page % 3 <> 0) OR (spot = 5 AND page % 3 = 0)),
-only AS (SELECT page, min(id) AS id FROM y GROUP BY page HAVING count(*) = 1),
+lone AS (SELECT page, min(id) AS id FROM y GROUP BY page HAVING count(*) = 1),
 hit AS (SELECT r.page, r.k, y.id FROM p r JOIN y ON r.page = y.page AND r.spot = y.spot AND (y.spot = 0 OR r.page % 2 = 0) WHERE r.spot < 3)
 SELECT page, k::VARCHAR AS region_id, id AS payload_id FROM hit UNION ALL
-SELECT r.page, r.k::VARCHAR, only.id FROM p r JOIN only ON r.page = only.page WHERE r.spot < 3 AND NOT EXISTS (SELECT 1 FROM hit WHERE hit.k = r.k)
+SELECT r.page, r.k::VARCHAR, lone.id FROM p r JOIN lone ON r.page = lone.page WHERE r.spot < 3 AND NOT EXISTS (SELECT 1 FROM hit WHERE hit.k = r.k)
 """
 QUERIES = {
     "table_captions": (table_captions, SQL_CAPTIONS),
