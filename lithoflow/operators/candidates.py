@@ -1,8 +1,9 @@
 """Candidate retrieval over a whole vocabulary.
 
 blocks: case_id, block_id, block_type, text (searchable), columns, rows. The vocabulary's frames (sources.vocabulary) are
-tens of rows: their distinct terms are matched in one projection per block, and everything after that is equi joins of what
-matched with broadcast vocabulary tables. Keys are (case_id, block_id).
+tens of rows: their distinct terms are matched in one projection per block, words meet concepts through an inverted index, and
+everything after that is equi joins of what matched with vocabulary tables (broadcast up to ``MOST_ROWS`` rows). Keys are
+(case_id, block_id).
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.shared import written
+from ..sources.shared import MOST_ROWS, written
 from .retrieve import best_per_key, top_k
 
 KEY = ["case_id", "block_id"]
@@ -99,7 +100,9 @@ def retrieve(blocks: DataFrame, v: dict[str, DataFrame], profiles: list[dict] =
     if k < 1:
         raise ValueError("k must be at least 1")
     blocks = written(T.with_normals(blocks.select(*KEY, "block_type", "text", "columns", "rows").filter(F.length(F.trim("text")) > 0)), "blocks")
-    small = F.broadcast
+    # every derived frame has at most a few rows for each of the vocabulary's
+    held = sum(f.limit(MOST_ROWS + 1).count() for f in v.values())
+    small = F.broadcast if held <= MOST_ROWS else lambda df: df
     concept = v["concepts"].filter("status = 'active'").select("concept_id", "name", "description")
     tail = F.element_at(F.split("concept_id", r"\."), -1)
     alias = v["aliases"].select("concept_id", T.normal(F.col("alias"), exact=True).alias("term"), F.col("alias").alias("shown"))
@@ -127,10 +130,20 @@ def retrieve(blocks: DataFrame, v: dict[str, DataFrame], profiles: list[dict] =
 
     any_scope = scopes.select(*KEY).distinct().withColumn("some", F.lit(True))
     lone = base.select(*KEY).join(any_scope, KEY, "left").filter("some IS NULL").select(*KEY)
-    entries = scopes.join(small(bound), "scope").select(*KEY, "concept_id", *CONTEXT, "n").union(lone.crossJoin(small(bound)).select(*KEY, "concept_id", *CONTEXT, "n"))
+    # what a block can reach at all: concepts of its terms, of its local facts and, by an inverted index, of its words
+    by_concept = hit.join(small(alias.filter("term <> ''")), "term").select(*KEY, "concept_id", "exact", "shown")
+    heard = hit.join(small(bound_alias.select("concept_id", "term").distinct()), "term").select(*KEY, "concept_id")
+    words = concept.join(v["aliases"].groupBy("concept_id").agg(F.array_join(F.array_sort(F.collect_list("alias")), " ").alias("ca")), "concept_id", "left").select("concept_id", F.concat_ws(" ", F.replace("concept_id", F.lit("."), F.lit(" ")), "name", "description", "ca").alias("w"))
+    index = words.select("concept_id", F.col("w").alias("x")).union(v["binding_aliases"].select("concept_id", "alias"))
+    index = index.select("concept_id", F.explode(T.keywords(T.normal(F.col("x"), exact=True))).alias("word")).distinct()
+    by_word = base.select(*KEY, F.explode("q").alias("word")).join(small(index), "word").select(*KEY, "concept_id")
+    reach = by_concept.select(*KEY, "concept_id").union(heard).union(local.filter("concept_id IS NOT NULL").select(*KEY, "concept_id")).union(by_word)
+    reach = written(reach.distinct(), "reach")
+    entries = scopes.join(small(bound), "scope").select(*KEY, "concept_id", *CONTEXT, "n").join(reach, [*KEY, "concept_id"], "left_semi")
+    entries = entries.unionByName(lone.join(reach, KEY).join(small(bound), "concept_id").select(*KEY, "concept_id", *CONTEXT, "n"))
     entries = entries.join(per_scope, [*KEY, "scope"], "left").filter(~F.col("scope").isin(PHASED) | F.col("hinted").isNull() | F.array_contains("hinted", F.col("phase")))
     free = concept.join(bound.select("concept_id").distinct(), "concept_id", "left_anti").select("concept_id")
-    open_ = base.select(*KEY).crossJoin(small(free)).select(*KEY, "concept_id", *[F.lit(None).cast("string").alias(c) for c in CONTEXT], F.lit(1 << 40).alias("n"), F.lit(None).cast("array<string>").alias("hinted"))
+    open_ = reach.join(small(free), "concept_id").select(*KEY, "concept_id", *[F.lit(None).cast("string").alias(c) for c in CONTEXT], F.lit(1 << 40).alias("n"), F.lit(None).cast("array<string>").alias("hinted"))
     entries = entries.join(small(concept.select("concept_id")), "concept_id").select(*KEY, "concept_id", *CONTEXT, "n", "hinted").unionByName(open_)
     pair = base.select(*KEY, (F.size(_matched(F.col("t"), PAIR_TERMS)) > 0).alias("pair"))
     entries = entries.join(explicit.withColumn("explicit", F.lit(True)), [*KEY, "scope"], "left").join(pair, KEY)
@@ -143,7 +156,6 @@ def retrieve(blocks: DataFrame, v: dict[str, DataFrame], profiles: list[dict] =
     null_key = [F.coalesce(F.col(c), F.lit("")).alias(f"k_{c}") for c in CONTEXT]
     keyed = [*KEY, "concept_id", *[f"k_{c}" for c in CONTEXT]]
     entries = written(entries.select("*", *null_key), "entries")
-    by_concept = hit.join(small(alias.filter("term <> ''")), "term").select(*KEY, "concept_id", "exact", "shown")
     by_binding = hit.join(small(bound_alias.select("concept_id", *null_key, "term", "shown")), "term").drop("term")
     said = entries.join(by_concept, [*KEY, "concept_id"]).select(*keyed, "exact", "shown").union(entries.join(by_binding, keyed).select(*keyed, "exact", "shown"))
     aliased = said.groupBy(*keyed).agg(F.max("exact").alias("exact"), F.array_sort(F.collect_set(F.when(F.col("exact"), F.col("shown")))).alias("e"), F.array_sort(F.collect_set("shown")).alias("all"))
@@ -151,7 +163,6 @@ def retrieve(blocks: DataFrame, v: dict[str, DataFrame], profiles: list[dict] =
     made = lambda df, seq, kind, score, shown: df.select(*KEY, "concept_id", *CONTEXT, score.alias("score"), F.lit(kind).alias("match_type"), shown.alias("terms"), "supported", F.struct(F.lit(seq).alias("a"), F.col("n").alias("b")).alias("seq"))
     bounded = entries.join(local.filter("concept_id IS NOT NULL").select(*KEY, "concept_id").distinct(), [*KEY, "concept_id"])
     everything = v["binding_aliases"].groupBy("concept_id", *null_key).agg(F.array_join(F.array_sort(F.collect_list("alias")), " ").alias("ba"))
-    words = concept.join(v["aliases"].groupBy("concept_id").agg(F.array_join(F.array_sort(F.collect_list("alias")), " ").alias("ca")), "concept_id", "left").select("concept_id", F.concat_ws(" ", F.replace("concept_id", F.lit("."), F.lit(" ")), "name", "description", "ca").alias("w"))
     quiet = rows.filter("exact IS NULL").join(small(words), "concept_id").join(small(everything), ["concept_id", *[f"k_{c}" for c in CONTEXT]], "left").join(base.select(*KEY, "q"), KEY)
     common = F.array_sort(F.array_intersect("q", T.keywords(T.normal(F.concat_ws(" ", "w", "ba"), exact=True))))
     quiet = quiet.withColumn("common", common).filter(F.size("common") > 0)

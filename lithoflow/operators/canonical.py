@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.units import convert
-from .contracts import CONTEXT, resolve
+from ..sources.shared import small
+from .contracts import CONTEXT, path_tokens, resolve
 from .joins import null_safe
 
 WELL_TYPES = {"well.producer": "producer", "well.water_injector": "water_injector", "well.gas_injector": "gas_injector"}
@@ -53,7 +54,7 @@ def build(drafts: DataFrame, concepts: DataFrame, bindings: DataFrame) -> tuple[
     """
     rows = resolve(drafts)
     known = concepts.select(F.col("concept_id").alias("norm_concept"), F.col("canonical_unit").alias("unit"), F.lit(True).alias("known"))
-    rows = rows.join(F.broadcast(known), "norm_concept", "left")
+    rows = rows.join(*small(known), "norm_concept", "left")
     flat = rows.select("*", *[F.col(f"norm_context.{c}").alias(c) for c in ("scope", "phase", "role", "phase_system")])
     allowed = bindings.select(F.col("concept_id").alias("norm_concept"), "scope", "phase", "role", "phase_system")
     outside = null_safe(flat.filter("known AND norm_context IS NOT NULL"), allowed, ["norm_concept", "scope", "phase", "role", "phase_system"]).select("case_id", "seq", F.lit(True).alias("outside"))
@@ -61,6 +62,9 @@ def build(drafts: DataFrame, concepts: DataFrame, bindings: DataFrame) -> tuple[
     physical = F.col("unit").isNotNull()
     expected = F.create_map(*[F.lit(x) for p in WELL_TYPES.items() for x in p])[F.col("norm_concept")]
     well = F.regexp_extract("path", r"^wells\[([^\]]+)\]", 1)
+    relperm = F.col("norm_concept") == "scal.relative_permeability"
+    structural = relperm | F.col("norm_concept").endswith(".pvt")
+    table_id, fields = F.regexp_extract("path", r"^scal\.relative_permeability\[([^\]]+)\]", 1), F.json_object_keys("value_str")
     code = (
         F.when(F.col("known").isNull() & (F.coalesce("code", F.lit("SEMANTIC_CONTEXT_REQUIRED")).isin("SEMANTIC_CONTEXT_REQUIRED", "UNSUPPORTED_CANONICAL_MAPPING")), "UNKNOWN_ONTOLOGY_CONCEPT")
         .when(F.col("code").isin("SEMANTIC_CONTEXT_CONFLICT", "SEMANTIC_CONTEXT_REQUIRED"), F.col("code"))
@@ -72,6 +76,10 @@ def build(drafts: DataFrame, concepts: DataFrame, bindings: DataFrame) -> tuple[
         .when(~physical & (F.col("source_unit").isNotNull() | F.col("canonical_unit").isNotNull()), "UNEXPECTED_UNIT")
         .when(expected.isNotNull() & ~F.col("value_str").eqNullSafe(expected), "ONTOLOGY_VALUE_MISMATCH")
         .when((F.col("norm_concept") == "well") & ~F.col("value_str").eqNullSafe(well), "ENTITY_SELECTOR_MISMATCH")
+        .when(structural & ~F.coalesce(F.trim("value_str").startswith("{") & fields.isNotNull(), F.lit(False)), "STRUCTURAL_VALUE_REQUIRED")
+        .when(relperm & (F.get_json_object("value_str", "$.id") != table_id), "ENTITY_SELECTOR_MISMATCH")
+        .when(relperm & ~F.array_sort(F.coalesce(F.from_json(F.get_json_object("value_str", "$.phase_system"), "array<string>"), F.array())).eqNullSafe(F.array(F.lit("oil"), F.lit("water"))), "SEMANTIC_CONTEXT_CONFLICT")
+        .when(F.exists(path_tokens(F.col("path")), lambda t: t["name"].isNull()), "INVALID_CANONICAL_PATH")
     )
     checked = rows.select("case_id", "seq", "path", F.col("norm_concept").alias("concept_id"), F.when(physical, F.col("unit_value")).alias("value"), F.when(~physical, F.col("value_str")).alias("text"), "unit", *[F.col(f"norm_context.{c}").alias(c) for c in CONTEXT], code.alias("code"))
     good = checked.filter("code IS NULL")

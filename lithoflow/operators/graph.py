@@ -13,16 +13,16 @@ def closure(edges: DataFrame, most_depth: int = 1000) -> DataFrame:
     steps is an error (RECURSION_LEVEL_LIMIT_EXCEEDED), never left out.
     """
     spark: SparkSession = edges.sparkSession
-    edges.createOrReplaceTempView("_closure_edges")
     return spark.sql(
-        f"""
-        WITH RECURSIVE up(node, ancestor, depth, path) MAX RECURSION LEVEL {int(most_depth) + 1} AS (
-          SELECT n, n, 0, array(n) FROM (SELECT child AS n FROM _closure_edges UNION SELECT parent FROM _closure_edges) WHERE n IS NOT NULL
+        """
+        WITH RECURSIVE up(node, ancestor, depth, path) MAX RECURSION LEVEL {depth} AS (
+          SELECT n, n, 0, array(n) FROM (SELECT child AS n FROM {edges} UNION SELECT parent FROM {edges}) WHERE n IS NOT NULL
           UNION ALL
-          SELECT u.node, e.parent, u.depth + 1, array_append(u.path, e.parent) FROM up u JOIN _closure_edges e ON u.ancestor = e.child
+          SELECT u.node, e.parent, u.depth + 1, array_append(u.path, e.parent) FROM up u JOIN {edges} e ON u.ancestor = e.child
           WHERE e.parent IS NOT NULL AND NOT array_contains(u.path, e.parent)
         ) SELECT node, ancestor, min(depth) AS depth FROM up GROUP BY node, ancestor
-        """
+        """,
+        edges=edges, depth=int(most_depth) + 1,
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import field_key
+from ..sources.shared import small
 from .contracts import CONTEXT, CONTEXT_DDL, contract_rows, resolve
 
 KEY = ["case_id", "block_id"]
@@ -110,8 +111,9 @@ def applies(outcomes: DataFrame, ancestors: DataFrame, targets: DataFrame) -> Da
     mapped = outcomes.filter("status = 'MAPPED'").withColumn("well", F.regexp_extract("path", r"^wells\[([^\]]+)\]\.", 1)).filter("well <> ''")
     kinds = mapped.filter(F.col("path").endswith("].well_type")).select(*KEY, "well", F.col("concept_id").alias("node"))
     rows = mapped.select(*KEY, "well", "path", F.col("concept_id").alias("src")).join(kinds, [*KEY, "well"])
-    judged = rows.join(F.broadcast(targets.select("src").distinct()), "src", "left_semi")
-    fits = judged.join(F.broadcast(targets), "src").join(F.broadcast(ancestors.select("node", F.col("ancestor").alias("dst"))), ["node", "dst"], "left_semi").select(*KEY, "path")
+    targets, ancestors = small(targets, ancestors.select("node", F.col("ancestor").alias("dst")))
+    judged = rows.join(targets.select("src").distinct(), "src", "left_semi")
+    fits = judged.join(targets, "src").join(ancestors, ["node", "dst"], "left_semi").select(*KEY, "path")
     return judged.join(fits, [*KEY, "path"], "left_anti").select(*KEY, F.lit("ONTOLOGY_RELATIONSHIP_CONFLICT").alias("code"), "path")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import plain_normal
+from ..sources.shared import small
 from . import checks
 from .joins import null_safe
 from .render import supported_control
@@ -34,20 +35,34 @@ def schema_level(quantities: DataFrame, patterns: list[str], required: list[str]
     return union(parts)
 
 
-def ontology_level(quantities: DataFrame, concepts: DataFrame, bindings: DataFrame) -> DataFrame:
-    """Unknown concepts, contexts outside the bindings (scope, phase, role, phase_system columns), wrong units."""
+def ontology_level(quantities: DataFrame, concepts: DataFrame, bindings: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """Unknown concepts, contexts outside the bindings (scope, phase, role, phase_system columns), wrong units; with the
+    vocabulary's edges (src, relation, dst), controls and limits that do not apply to their well's type or an ancestor of it."""
     known = concepts.select("concept_id", F.col("canonical_unit").alias("want"), F.lit(True).alias("known"))
-    rows = quantities.join(F.broadcast(known), "concept_id", "left")
+    rows = quantities.join(*small(known), "concept_id", "left")
     outside = null_safe(rows.filter("known AND scope IS NOT NULL"), bindings, ["concept_id", "scope", "phase", "role", "phase_system"])
     return union([
         _issue(rows.filter("known IS NULL"), "ontology", "ONTOLOGY_CONCEPT_MISSING"), _issue(outside, "ontology", "ONTOLOGY_CONTEXT_ERROR"),
         _issue(rows.filter("known AND NOT (unit <=> want)"), "ontology", "ONTOLOGY_UNIT_ERROR", F.concat("path", F.lit(".unit"))),
         _issue(rows.filter(F.col("path").rlike(r"^wells\[[^\]]+\]\.well_type$") & F.col("text").eqNullSafe("unknown")), "ontology", "ONTOLOGY_CONTEXT_UNRESOLVED", severity="warning"),
+        *([] if edges is None else [_issue(unrelated(quantities, concepts, edges), "ontology", "ONTOLOGY_RELATIONSHIP_ERROR")]),
     ])
 
 
+def unrelated(quantities: DataFrame, concepts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(case_id, path) of what applies to no type of its well, by the edges applies_to and the concepts' parents."""
+    from .graph import closure
+    from .outcomes import applies
+
+    parents = concepts.filter("parent IS NOT NULL").select(F.col("concept_id").alias("child"), "parent")
+    alone = concepts.select(F.col("concept_id").alias("node"), F.col("concept_id").alias("ancestor"))
+    up = closure(parents).select("node", "ancestor").union(alone).distinct()
+    rows = quantities.select("case_id", F.lit("").alias("block_id"), F.lit("MAPPED").alias("status"), "concept_id", "path")
+    return applies(rows, up, edges.filter("relation = 'applies_to'").select("src", "dst").distinct()).select("case_id", "path")
+
+
 def domain_level(quantities: DataFrame, constraints: dict[str, dict[str, float]], minimum_points: int = 2) -> DataFrame:
-    """Ranges, table sizes, duplicate and unordered coordinates, trends, schedule."""
+    """Ranges, table sizes, ids of two entities, duplicate and unordered coordinates, trends, schedule."""
     p = F.col("path")
     ranged = quantities.withColumn("rule", checks.violated(F.col("value"), F.col("concept_id"), constraints)).filter("rule IS NOT NULL")
     grammar = r"^(.*\.points|scal\.relative_permeability\[[^\]]+\]\.points)\[(\d+)\]\.(\w+)$"
@@ -61,11 +76,12 @@ def domain_level(quantities: DataFrame, constraints: dict[str, dict[str, float]]
     tables = quantities.filter(p.rlike(r"^scal\.relative_permeability\[[^\]]+\]$")).select("case_id", F.concat("path", F.lit(".points")).alias("path")).union(wide.filter("sw IS NOT NULL").select("case_id", "path")).distinct()
     models = quantities.filter(p.rlike(r"^fluids\.\w+\.pvt$") & (F.get_json_object("text", "$.model_type") == "table")).select("case_id", F.concat("path", F.lit(".points")).alias("path"))
     schedule = quantities.groupBy("case_id").agg(*[F.max(F.when(p == f"schedule.{f}", F.col("value"))).alias(f) for f in ("duration", "report_interval")])
+    names = quantities.filter(p.rlike(r"^wells\[[^\]]+\]\.id$") & F.col("text").isNotNull())
     short = checks.too_few(tables.select(F.struct("case_id", "path").alias("t")), keyed, "t", minimum_points)
     return union([
         _issue(ranged, "domain", "VALUE_OUT_OF_RANGE"), _issue(back(short), "domain", "TABLE_TOO_SHORT"),
         _issue(models.join(wide.select("case_id", "path").distinct(), ["case_id", "path"], "left_anti"), "domain", "TABLE_EMPTY"),
-        _issue(double, "domain", "DUPLICATE_COORDINATE"),
+        _issue(double, "domain", "DUPLICATE_COORDINATE"), _issue(checks.duplicated(names, ["case_id", "text"]), "domain", "DUPLICATE_ENTITY_ID", F.lit("wells")),
         _issue(back(checks.not_increasing(unique, "t", ["i"], "x")), "domain", "COORDINATE_ORDER_WARNING", severity="warning"),
         _issue(back(checks.falling(scal, "t", ["sw"], "krw")), "domain", "KRW_TREND_WARNING", severity="warning"),
         _issue(back(checks.rising(scal, "t", ["sw"], "kro")), "domain", "KRO_TREND_WARNING", severity="warning"),
@@ -184,7 +200,7 @@ def vocabulary_issues(v: dict[str, DataFrame], convention: dict) -> DataFrame:
     add(c.filter(F.col("dimension").isNotNull() & ~F.col("dimension").isin(list(dims))), "UNKNOWN_DIMENSION", "dimension")
     add(c.filter(F.col("dimension").isin(list(dims)) & F.col("canonical_unit").isNull()), "MISSING_CANONICAL_UNIT", "canonical_unit")
     pairs = spark.createDataFrame([(d, u) for d, us in dims.items() for u in us], "dimension string, canonical_unit string")
-    add(c.filter(F.col("dimension").isin(list(dims)) & F.col("canonical_unit").isNotNull()).join(F.broadcast(pairs), ["dimension", "canonical_unit"], "left_anti"), "INCOMPATIBLE_CANONICAL_UNIT", "canonical_unit")
+    add(c.filter(F.col("dimension").isin(list(dims)) & F.col("canonical_unit").isNotNull()).join(*small(pairs), ["dimension", "canonical_unit"], "left_anti"), "INCOMPATIBLE_CANONICAL_UNIT", "canonical_unit")
     rule = F.concat(F.lit("constraints."), "rule")
     keyed = limits.join(c.select("concept_id", "value_type"), "concept_id")
     add(limits.filter(~F.col("rule").isin(list(convention["constraint_keys"]))), "UNKNOWN_CONSTRAINT", rule)
@@ -207,7 +223,7 @@ def vocabulary_issues(v: dict[str, DataFrame], convention: dict) -> DataFrame:
     relations = convention["relationships"]
     types = spark.createDataFrame([(r, list(x["source_value_types"]), list(x["target_value_types"]), bool(x.get("allow_multiple", True)), x.get("inverse")) for r, x in relations.items()], "relation string, source_types array<string>, target_types array<string>, many boolean, inverse string")
     add(edge.filter(~F.col("relation").isin(list(relations))), "UNKNOWN_RELATIONSHIP", at)
-    typed = edge.join(F.broadcast(types), "relation").join(c.select(F.col("concept_id").alias("src"), F.col("value_type").alias("src_type")), "src").join(c.select(F.col("concept_id").alias("dst"), F.col("value_type").alias("dst_type")), "dst", "left")
+    typed = edge.join(*small(types), "relation").join(c.select(F.col("concept_id").alias("src"), F.col("value_type").alias("src_type")), "src").join(c.select(F.col("concept_id").alias("dst"), F.col("value_type").alias("dst_type")), "dst", "left")
     add(typed.filter("NOT array_contains(source_types, src_type)").select("concept_id", "relation").distinct(), "INVALID_RELATIONSHIP_SOURCE_TYPE", F.concat(F.lit("relationships."), "relation"))
     add(typed.filter("dst_type IS NOT NULL AND NOT array_contains(target_types, dst_type)"), "INVALID_RELATIONSHIP_TARGET_TYPE", at)
     add(typed.filter("NOT many").groupBy("concept_id", "relation").count().filter("count > 1"), "RELATIONSHIP_CARDINALITY_ERROR", F.concat(F.lit("relationships."), "relation"))

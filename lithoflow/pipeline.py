@@ -45,10 +45,18 @@ def canonical_patterns() -> list[str]:
     return [contracts.pattern_of(t) for _, _, t in contracts.contracts()]
 
 
-def translate(sources: DataFrame, drafts: DataFrame, vocabulary: dict[str, DataFrame], profiles: list[dict] = (), platform: str = "eclipse", dialect: str = "", constraints: dict[str, dict[str, float]] | None = None, top_k: int = 40) -> Translation:
-    """sources: source_id, file_name, content. drafts: as outcomes.materialise takes them."""
+def translate(sources: DataFrame, drafts: DataFrame, vocabulary: dict[str, DataFrame], profiles: list[dict] = (), platform: str = "eclipse", dialect: str = "", constraints: dict[str, dict[str, float]] | None = None, top_k: int = 40, notes: dict[str, str] | None = None) -> Translation:
+    """sources: source_id, file_name, content. drafts: as outcomes.materialise takes them.
+
+    notes: whole-line patterns ``heading``, ``metadata`` and ``absence`` (P09); blocks that they, or known metadata keys, cover
+    are context of their document and are neither searched nor reported as unmapped (P06).
+    """
     parsed = written(B.blocks_of(sources), "parsed")
-    blocks = written(searchable(parsed), "blocks")
+    blocks = searchable(parsed)
+    if notes:
+        kind = candidates.metadata_kind(F.col("block_type"), F.col("key"), F.col("value"), F.col("text"), notes["heading"], notes["metadata"], notes["absence"])
+        blocks = blocks.filter(kind.isNull())
+    blocks = written(blocks, "blocks")
     found = candidates.retrieve(blocks, vocabulary, profiles, k=3 * top_k)
     context = F.when(F.col("scope").isNotNull(), F.struct(*[F.col(c) for c in contracts.CONTEXT]).cast(contracts.CONTEXT_DDL))
     found = found.select(*KEY, "concept_id", context.alias("context"), "score", "rank", "supported")
@@ -67,7 +75,7 @@ def translate(sources: DataFrame, drafts: DataFrame, vocabulary: dict[str, DataF
     quantities, build_issues = canonical.build(ready.withColumn("seq", F.struct("block_id", "seq")).drop("block_id", "draft_block_id"), vocabulary["concepts"], vocabulary["bindings"])
     quantities = written(quantities, "quantities")
     broken = build_issues.select("case_id", F.lit("schema").alias("layer"), F.lit("error").alias("severity"), "code", "path")
-    levels = [broken, validate.schema_level(quantities, canonical_patterns()), validate.ontology_level(quantities, vocabulary["concepts"], vocabulary["bindings"]), validate.domain_level(quantities, constraints or {})]
+    levels = [broken, validate.schema_level(quantities, canonical_patterns()), validate.ontology_level(quantities, vocabulary["concepts"], vocabulary["bindings"], vocabulary.get("edges")), validate.domain_level(quantities, constraints or {})]
     issues = written(validate.validate(levels, quantities, platform), "issues")
     good = validate.valid(issues, quantities.select("case_id").distinct()).filter("valid").select("case_id")
     done = status.join(good.withColumn("ok", F.lit(True)), "case_id", "left").select("case_id", F.when(F.col("gate") != "ready", F.col("gate")).when(F.col("ok"), "success").otherwise("validation_failed").alias("status"))
