@@ -196,7 +196,7 @@ def metadata_kind(block_type: Column, key: Column, value: Column, text: Column,
     """Metadata, heading or absence_statement, or null. The three patterns are the user's, matched to whole lines."""
     k = T.field_key(key)
     basis = (k == "saturationbasis") & F.lower(value).isin("fraction", "percent", "%")
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     is_meta = lambda x: x.rlike(f"(?i)^(?:{metadata})$")
     covered = (F.size(lines) > 0) & F.forall(lines, lambda x: x.rlike(f"^(?:{heading})$") | is_meta(x))
     of_text = F.when(covered, F.when(F.exists(lines, is_meta), "metadata").otherwise("heading")).when(F.trim(text).rlike(f"^(?:{absence})$"), "absence_statement")

@@ -94,7 +94,7 @@ def block_issues(outcomes: DataFrame) -> DataFrame:
     orphan = issue(parents.join(mapped, [*KEY, "path"], "left_anti"), "REQUIRED_STRUCTURAL_MAPPING_MISSING")
     part = lambda n: F.regexp_extract("path", r"^wells\[([^\]]+)\]\.controls\[([^\]]+)\]", n)
     targets = mapped.filter(F.col("path").rlike(r"^wells\[[^\]]+\]\.controls\[[^\]]+\]\.target$")).select(*KEY, part(1).alias("well"), part(2).alias("control")).groupBy(*KEY, "well").agg(F.collect_set("control").alias("targets"))
-    limits = mapped.filter(F.col("path").rlike(r"\.constraints\[[^\]]+\]\.value$")).select(*KEY, "path", part(1).alias("well"), part(2).alias("control"))
+    limits = mapped.filter(F.col("path").rlike(r"\.constraints\[[^\]]+\]\.value$")).select(*KEY, "path", part(1).alias("well"), part(2).alias("control")).distinct()
     astray = issue(limits.join(targets, [*KEY, "well"]).filter(~F.array_contains("targets", F.col("control"))), "CONSTRAINT_CONTROL_TARGET_MISMATCH")
     whole = outcomes.groupBy(*KEY).agg(F.bool_and(F.col("status") == "MAPPED").alias("all")).filter("all")
     pvt = r"^(fluids\.[^.]+\.pvt\.points\[\d+\])\.[^.]+$"

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import canonical, checks, matching, pages
+from . import canonical, checks, lifecycle, matching, pages
 
-MODULES = [matching, checks, canonical, pages]
+MODULES = [matching, checks, canonical, pages, lifecycle]
 
 
 def _all() -> dict:
