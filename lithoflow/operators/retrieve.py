@@ -32,13 +32,26 @@ def literal_equal(text: Column, term: str) -> Column:
 
 
 def alias_matches(text: Column, aliases: Sequence[tuple[str, str]]) -> Column:
-    """Array of (concept, term, score) for normalised text and (concept, normalised term): 1.0 equal, 0.9 contained."""
-
-    def one(concept: str, term: str) -> Column:
-        hit = F.when(literal_equal(text, term), 1.0).when(literal_contains(text, term), 0.9)
+    """Array of (concept, term, score) for normalised text and (concept, normalised term): 1.0 equal, 0.9 contained.
+
+    A text is cut into ASCII words once, and one set intersection finds all terms of one word; its form without blanks is made
+    once too. Only terms of several words are searched one by one.
+    """
+    plain = sorted({t for _, t in aliases if re.fullmatch("[a-z0-9]+", t)})
+    words = F.array_intersect(F.split(text, "[^a-z0-9]+"), F.array(*map(F.lit, plain)).cast("array<string>"))
+    bare = T.compact(text) if any(not t.isascii() for _, t in aliases) else F.lit(None).cast("string")
+    facts = F.struct(text.alias("t"), words.alias("w"), bare.alias("c"))
+
+    def held(x: Column, term: str) -> Column:
+        if term in plain:
+            return F.array_contains(x["w"], term)
+        return literal_contains(x["t"], term) if term.isascii() else F.contains(x["c"], F.lit(term.replace(" ", "")))
+
+    def one(x: Column, concept: str, term: str) -> Column:
+        hit = F.when(literal_equal(x["t"], term), 1.0).when(held(x, term), 0.9)
         return F.when(hit.isNotNull(), F.struct(F.lit(concept).alias("concept"), F.lit(term).alias("term"), hit.alias("score")))
 
-    return F.array_compact(F.array(*[one(c, t) for c, t in aliases]))
+    return F.get(F.transform(F.array(facts), lambda x: F.array_compact(F.array(*[one(x, c, t) for c, t in aliases]))), F.lit(0))
 
 
 def keyword_score(query: Column, concept: Column) -> Column:

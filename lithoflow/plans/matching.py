@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import joins
+from ..operators import candidates, joins
 from ..operators import retrieve as R
 from ..sources import blocks
 from .common import ALIASES, SCOPES, sql_contains, sql_normal, sql_plain, table, values
@@ -42,15 +42,16 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagship_gate(spark, sf_dir):
-    """Documents to blocks, matched, ranked, banded and gated: one row a document."""
-    parts = paragraphs(spark, sf_dir)
-    found = parts.select("doc_id", "block_no", F.explode(R.alias_matches(T.normal(F.col("text")), ALIASES)).alias("m")).select("doc_id", "block_no", "m.*")
+    """Documents to blocks, matched, ranked, banded and gated: one row a document. Blocks without a match stay as rows without a
+    concept, so one pass gives both counts."""
+    parts = paragraphs(spark, sf_dir).select("doc_id", "block_no", T.normal(F.col("text")).alias("t"))
+    found = parts.select("doc_id", "block_no", F.explode_outer(R.alias_matches(F.col("t"), ALIASES)).alias("m")).select("doc_id", "block_no", "m.*")
     best = found.groupBy("doc_id", "block_no", "concept").agg(F.max("score").alias("score"))
-    ranked = R.top_k(best, ["doc_id", "block_no"], 3).withColumn("band", R.confidence_band(F.col("score")))
-    top = F.max(F.struct("score", F.expr("-rank").alias("r"), "concept"))
-    per_doc = ranked.groupBy("doc_id").agg(F.count("band").alias("n_matches"), F.bool_or(F.col("band") == "review").alias("r"), top["concept"].alias("best_concept"), F.max("score").alias("best_score"))
-    all_docs = table(spark, sf_dir, "documents").select("doc_id").join(parts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_blocks")), "doc_id", "left").join(per_doc, "doc_id", "left")
-    status = F.when(F.col("n_matches").isNull() | F.col("r"), "review_required").otherwise("ready")
+    ranked = R.top_k(best, ["doc_id", "block_no"], 3).withColumn("band", F.when(F.col("concept").isNotNull(), R.confidence_band(F.col("score"))))
+    top = F.max(F.when(F.col("concept").isNotNull(), F.struct("score", F.expr("-rank").alias("r"), "concept")))
+    per_doc = ranked.groupBy("doc_id").agg(F.count_if(F.col("rank") == 1).alias("n_blocks"), F.count("band").alias("n_matches"), F.coalesce(F.bool_or(F.col("band") == "review"), F.lit(False)).alias("r"), top["concept"].alias("best_concept"), F.max("score").alias("best_score"))
+    all_docs = table(spark, sf_dir, "documents").select("doc_id").join(per_doc, "doc_id", "left")
+    status = F.when((F.coalesce("n_matches", F.lit(0)) == 0) | F.col("r"), "review_required").otherwise("ready")
     return all_docs.select("doc_id", F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"), F.coalesce("n_matches", F.lit(0)).alias("n_matches"), "best_concept", "best_score", status.alias("status"))
 
 
@@ -170,6 +171,40 @@ SELECT p_name, concept, CAST(rank AS INTEGER) AS rank, CAST(row_number() OVER (P
 """
 
 
+#: A small vocabulary over part names and types: (concept, name, description, aliases).
+PART_CONCEPTS = [
+    ("thing.ring", "Ring", "a round part", ["ring", "Gear Ring"]), ("colour.red", "Red", "hue of a thing", ["red"]), ("size.large", "Large", "size of a part", ["LARGE"]),
+    ("kind.promo", "Promo kind", "promo brushed", []), ("kind.standard", "Standard", "polished nickel", ["StandardPolished"]), ("old.blue", "Blue", "blue", ["blue"]),
+]
+
+
+def retrieve_candidates(spark, sf_dir):
+    """A vocabulary without scopes: aliases first, else common words, the best three."""
+    frame = spark.createDataFrame
+    context = "concept_id string, scope string, phase string, role string, phase_system string"
+    v = {
+        "concepts": frame([(c, n, d, "retired" if c.startswith("old.") else "active") for c, n, d, _ in PART_CONCEPTS], "concept_id string, name string, description string, status string"),
+        "aliases": frame([(c, a) for c, _, _, aliases in PART_CONCEPTS for a in aliases], "concept_id string, alias string"),
+        "bindings": frame([], context), "binding_aliases": frame([], f"{context}, alias string"), "scopes": frame([], "scope string, phases array<string>"), "scope_aliases": frame([], "scope string, alias string"),
+    }
+    none = F.array().cast("array<string>")
+    rows = table(spark, sf_dir, "part").select(F.lit("c").alias("case_id"), F.col("p_partkey").alias("block_id"), F.lit("text").alias("block_type"), F.concat_ws(" ", "p_name", "p_type").alias("text"), none.alias("columns"), F.array().cast("array<array<string>>").alias("rows"))
+    return candidates.retrieve(rows, v, k=3).select(F.col("block_id").alias("p_partkey"), "rank", "concept_id", "score", "match_type")
+
+
+SQL_RETRIEVE = f"""
+WITH c AS (SELECT * FROM {values([(c, f"{c} {n} {d} {' '.join(sorted(a))}".replace('.', ' ')) for c, n, d, a in PART_CONCEPTS if not c.startswith('old.')])} v(concept, w)),
+a AS (SELECT concept, {sql_normal("alias")} AS term FROM {values([(c, x) for c, _, _, a in PART_CONCEPTS for x in a if not c.startswith('old.')])} v(concept, alias)),
+words AS (SELECT concept, list_distinct(list_filter(string_split({sql_normal("w")}, ' '), lambda x: length(x) > 1 AND x NOT IN {tuple(T.STOP_WORDS)})) AS w FROM c),
+q AS (SELECT p_partkey, {sql_normal("p_name || ' ' || p_type")} AS t FROM part),
+k AS (SELECT *, list_distinct(list_filter(string_split(t, ' '), lambda x: length(x) > 1 AND x NOT IN {tuple(T.STOP_WORDS)})) AS q FROM q),
+hit AS (SELECT p_partkey, concept, max(CASE WHEN replace(t, ' ', '') = replace(term, ' ', '') THEN 1.0 ELSE 0.9 END)::DOUBLE AS score FROM q JOIN a ON replace(t, ' ', '') = replace(term, ' ', '') OR {sql_contains("t", "term")} GROUP BY ALL),
+word AS (SELECT p_partkey, concept, round(least(0.79, 0.45 + 0.34 * len(list_intersect(q, w)) / greatest(len(q), 1)), 6)::DOUBLE AS score FROM k, words WHERE len(list_intersect(q, w)) > 0),
+b AS (SELECT p_partkey, concept, score, 'alias' AS kind FROM hit UNION ALL SELECT p_partkey, concept, score, 'keyword' FROM word WHERE NOT EXISTS (SELECT 1 FROM hit WHERE hit.p_partkey = word.p_partkey AND hit.concept = word.concept))
+SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, length(concept) - length(replace(concept, '.', '')) DESC, concept) AS INTEGER) AS rank, concept AS concept_id, score, kind AS match_type FROM b QUALIFY rank <= 3
+"""
+
+
 def scope_detect(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", T.scope_normal(F.col("text")).alias("t"))
     return docs.select("doc_id", F.array_join(R.detect_scopes(F.col("t"), SCOPES), ",").alias("scopes"))
@@ -223,6 +258,7 @@ QUERIES = {
     "best_candidate_per_key": (best_candidate_per_key, SQL_BEST),
     "topk_candidates": (topk_candidates, SQL_TOPK),
     "alias_search_ranked": (alias_search_ranked, SQL_ALIAS_SEARCH),
+    "retrieve_candidates": (retrieve_candidates, SQL_RETRIEVE),
     "scope_detect": (scope_detect, SQL_SCOPE),
     "token_estimate": (token_estimate, "SELECT doc_id, len(regexp_extract_all(text, '[\\x{3400}-\\x{9fff}]|[^\\x00-\\x7f\\s]|[A-Za-z0-9_]{1,4}|[^\\w\\s]'))::BIGINT AS n_tokens FROM documents"),
     "sentence_split": (sentence_split, None),
