@@ -29,6 +29,7 @@ from .common import let, words, written
 BANDS, ROWS = 40, 6
 SLICE = 1 << 16
 PAIRS, SIDE, COLUMNS = 4096, 1024, 4096
+CENTRES, SALTS = 256, 64
 
 
 def shingle_hashes(text: Column, size: int) -> Column:
@@ -148,13 +149,21 @@ def _unite(pairs: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(id, root) for every id of the links (a, b), root the smallest id reachable.
 
-    Large-star and small-star contraction over the forest that union-find leaves of each partition.
+    Large-star and small-star contraction over the forest that union-find leaves of each partition; the edges of a star that
+    holds much of all edges are salted.
     """
     edges = written(_unite(links.filter("a <> b")), "forest")
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        least = written(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        # centres of over 1 / CENTRES of all edge ends, so at most CENTRES of them: their edges are spread over SALTS tasks
+        ends = least.agg(F.sum("n")).first()[0] or 0
+        hot = [r["a"] for r in least.filter(F.col("n") > max(SALTS, ends / CENTRES)).select("a").collect()]
+        spread = F.col("a").isin(hot) if hot else F.lit(False)
+        salts = F.when(spread, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        least = least.select("a", F.least("a", "m").alias("m"), F.explode(salts).alias("salt"))
+        outer = both.filter("b > a").withColumn("salt", F.when(spread, F.pmod(F.xxhash64("b"), F.lit(SALTS))).otherwise(0).cast("int"))
+        large = outer.join(least, ["a", "salt"]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()

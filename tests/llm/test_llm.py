@@ -425,6 +425,13 @@ def test_components_of_a_chain(spark):
     assert got == {i: 0 for i in range(61)} | {99: 99, 100: 99}
 
 
+def test_components_of_a_large_star(spark):
+    """A centre with most edges is salted, and the result is the same."""
+    links = spark.createDataFrame([(5000, i) for i in range(1, 900)] + [(i, 10_000 + i) for i in range(1, 50)] + [(7001, 7000)], "a long, b long")
+    got = dict(map(tuple, minhash.components(links.repartition(9)).collect()))
+    assert got == {i: 1 for i in [*range(1, 900), 5000, *range(10_001, 10_050)]} | {7000: 7000, 7001: 7000}
+
+
 # 6
 def nearest(rows, k):
     good = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v) and len(v) == 8]
