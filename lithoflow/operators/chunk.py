@@ -9,12 +9,13 @@ from __future__ import annotations
 import json
 import re
 from html.parser import HTMLParser
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: As functions.text.token_estimate.
+#: Tokens (as functions.text.token_estimate) and the ends of sentences.
 TOKEN = re.compile(r"[㐀-鿿]|[^\x00-\x7f\s]|[A-Za-z0-9_]{1,4}|[^\w\s]", re.ASCII)
 SENTENCE = re.compile(r"(?<=[.!?。！？；;])\s+|(?<=[。！？；])")
 
@@ -37,45 +38,47 @@ def tokens(text: str) -> int:
 
 
 def hard_split(text: str, budget: int) -> list[str]:
-    """longest prefixes within the budget, cut back to white space in their last fifth."""
-    out = []
-    while text:
-        if tokens(text) <= budget:
-            out.append(text)
+    """longest prefixes within the budget, cut back to white space in their last fifth. A prefix has as many tokens as start in
+    it, so the start of the first token too many is its end; no part is read twice."""
+    out, at = [], 0
+    while at < len(text):
+        starts = [m.start() for m in islice(TOKEN.finditer(text, at), budget + 1)]
+        if len(starts) <= budget:
+            out.append(text[at:])
             break
-        low, high = 1, len(text)
-        while low < high:
-            mid = (low + high + 1) // 2
-            low, high = (mid, high) if tokens(text[:mid]) <= budget else (low, mid - 1)
-        if tokens(text[:low]) > budget:
+        low = starts[budget] - at
+        if low < 1:
             raise ValueError("PDF_CHUNK_BUDGET_TOO_SMALL")
-        blank = max(text.rfind(" ", int(low * 0.8), low), text.rfind("\n", int(low * 0.8), low))
-        cut = blank + 1 if blank > 0 else low
-        out.append(text[:cut])
-        text = text[cut:]
+        back = at + int(low * 0.8)
+        blank = max(text.rfind(" ", back, at + low), text.rfind("\n", back, at + low))
+        cut = blank + 1 if blank > at else at + low
+        out.append(text[at:cut])
+        at = cut
     return out
 
 
 def split_text(text: str, budget: int, level: int = 0) -> list[str]:
-    """whole, else paragraphs, sentences, then hard cuts; units are grouped greedily."""
+    """whole, else paragraphs, sentences, then hard cuts; units are grouped greedily. White space between units is no token and
+    ends one, so the tokens of a group are those of its units."""
     if tokens(text) <= budget:
         return [text] if text.strip() else []
     if level == 2:
         return [x for x in hard_split(text, budget) if x.strip()]
     units, glue = (re.split(r"\n+", text), "\n") if level == 0 else (SENTENCE.split(text), " ")
-    out, held = [], ""
+    out, held, used = [], [], 0
     for unit in (u for u in units if u and u.strip()):
-        joined = held + glue + unit if held else unit
-        if tokens(joined) <= budget:
-            held = joined
+        size = tokens(unit)
+        if used + size <= budget:
+            held.append(unit)
+            used += size
             continue
         if held:
-            out.append(held)
-        held = unit
-        if tokens(unit) > budget:
+            out.append(glue.join(held))
+        held, used = [unit], size
+        if size > budget:
             out += split_text(unit, budget, level + 1)
-            held = ""
-    return out + [held] * bool(held)
+            held, used = [], 0
+    return out + [glue.join(held)] * bool(held)
 
 
 def chunks(docs: DataFrame, budget: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,6 +163,12 @@ def html_grid(html: str) -> tuple[list[str], list[list[str]], list[tuple[int, in
     return [f"column_{n}" for n in range(1, width + 1)], rows, merged
 
 
+#: The codes of the corrections.
+CORRECTIONS = {
+    "code_fence": "markdown_fence_removed", "trailing_comma": "trailing_commas_removed", "single_value": "json_extracted_from_wrapper", "single_value_trailing_comma": "wrapper_extracted_and_trailing_commas_removed",
+}
+
+
 def repair_json(raw: str | None) -> tuple[str | None, str | None]:
     """(JSON text, correction): strict, without a fence, without trailing commas, one balanced value, or both; (None, code) if
     nothing or more than one value is found."""
@@ -202,10 +211,11 @@ def repair_json(raw: str | None) -> tuple[str | None, str | None]:
 
 
 def repaired(rows: DataFrame, column: str) -> DataFrame:
-    """rows with json and correction."""
+    """rows with json, correction and code (that of the correction, or of the failure; null if the text was strict)."""
 
-    @F.pandas_udf("json string, correction string")
+    @F.pandas_udf("json string, correction string, code string")
     def run(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([repair_json(t) for t in text], columns=["json", "correction"])
+        found = [repair_json(t) for t in text]
+        return pd.DataFrame([(j, c, CORRECTIONS.get(c, None if c == "none" else c)) for j, c in found], columns=["json", "correction", "code"])
 
-    return rows.withColumn("_x", run(column)).select(*rows.columns, "_x.json", "_x.correction")
+    return rows.withColumn("_x", run(column)).select(*rows.columns, "_x.json", "_x.correction", "_x.code")

@@ -90,7 +90,7 @@ def html_grid_expand(spark, sf_dir):
 
 def json_repair(spark, sf_dir):
     broken = F.element_at(F.array(F.col("props"), F.concat(F.lit("```json\n"), "props", F.lit("\n```")), F.replace(F.col("props"), F.lit("}"), F.lit(",}")), F.concat(F.lit("so: "), "props", F.lit(" ok")), F.concat("props", F.lit(' {"z": 1}'))), (F.col("event_id") % 5 + 1).cast("int"))
-    return chunk.repaired(table(spark, sf_dir, "events").select("event_id", broken.alias("raw")), "raw").select("event_id", "json", "correction")
+    return chunk.repaired(table(spark, sf_dir, "events").select("event_id", broken.alias("raw")), "raw").select("event_id", "json", "correction", "code")
 
 
 def time_steps(spark, sf_dir):
@@ -125,15 +125,25 @@ h AS (SELECT *, CASE WHEN b = 3 THEN 'SCHEDULE' ELSE 'PROPS' END AS s, lag(b) OV
 i AS (SELECT l_orderkey, b, CASE WHEN p IS NULL OR b = 3 THEN chr(10) || '-- ' || s || chr(10) ELSE '' END || t AS t FROM h)
 SELECT l_orderkey AS case_id, '-- Generated deterministic demo INCLUDE' || chr(10) || '-- Dialect: TEST' || chr(10) || '-- Requires a compatible host deck; no missing values were guessed.' || chr(10) || string_agg(t, chr(10) ORDER BY b) || chr(10) AS text FROM i GROUP BY 1
 """
+SQL_REPAIR = """
+SELECT event_id, CASE WHEN event_id % 5 <> 4 THEN props END AS json, ['none', 'code_fence', 'trailing_comma', 'single_value', 'AMBIGUOUS_JSON'][event_id % 5 + 1] AS correction,
+  [NULL, 'markdown_fence_removed', 'trailing_commas_removed', 'json_extracted_from_wrapper', 'AMBIGUOUS_JSON'][event_id % 5 + 1] AS code FROM events
+"""
+SQL_GREEDY = """
+WITH RECURSIVE l AS (SELECT doc_id, i, greatest(length(parts[i]), 1) AS n, len(parts) AS last FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))),
+g AS (SELECT doc_id, i, n AS used, 1 AS groups, last FROM l WHERE i = 1 UNION ALL
+  SELECT l.doc_id, l.i, CASE WHEN g.used + l.n <= 400 THEN g.used + l.n ELSE l.n END, CASE WHEN g.used + l.n <= 400 THEN g.groups ELSE g.groups + 1 END, l.last FROM g JOIN l ON l.doc_id = g.doc_id AND l.i = g.i + 1)
+SELECT doc_id, groups::BIGINT AS n_groups FROM g WHERE i = last
+"""
 QUERIES = {
     "legacy_id_migration": (legacy_id_migration, SQL_LEGACY),
     "path_resolve": (path_resolve, SQL_PATH),
     "path_merge_conflicts": (path_merge_conflicts, "SELECT l_orderkey AS case_id, 'lines[' || l_linenumber || '].flag' AS path, count(*) AS n, count(DISTINCT l_returnflag) AS n_values, CASE WHEN count(DISTINCT l_returnflag) > 1 THEN 'DUPLICATE_CANONICAL_ASSIGNMENT' END AS code, CASE WHEN count(DISTINCT l_returnflag) = 1 THEN min(l_returnflag) END AS text FROM lineitem GROUP BY l_orderkey, l_linenumber"),
     "path_nest_render": (path_nest_render, SQL_NEST),
-    "greedy_groups": (greedy_groups, None),
+    "greedy_groups": (greedy_groups, SQL_GREEDY),
     "greedy_chunks": (greedy_chunks, None),
     "html_grid_expand": (html_grid_expand, None),
-    "json_repair": (json_repair, None),
+    "json_repair": (json_repair, SQL_REPAIR),
     "time_steps": (time_steps, SQL_STEPS),
     "render_records": (render_records, SQL_RENDER),
 }
