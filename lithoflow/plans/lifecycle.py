@@ -398,6 +398,37 @@ def control_fragments(spark, sf_dir):
     return render.render_fragment(render.fragment_records(_wells(spark, sf_dir)), "TEST").select("case_id", F.sha2("text", 256).alias("sha256"), F.length("text").alias("n_chars"))
 
 
+SQL_FRAGMENTS = SQL_WELLS + """, t AS (SELECT o, name, 0 AS n, '' AS l, '*WELL ''' || name || '''' AS t FROM w UNION ALL SELECT o, name, 1, '', CASE kind WHEN 'producer' THEN '*PRODUCER ''' || name || '''' ELSE '*INJECTOR ''' || name || ''' *WATER' END FROM w
+  UNION ALL SELECT o, name, 2, '', '*OPERATE ''' || name || ''' *MAX ' || CASE kind WHEN 'producer' THEN '*STL ' ELSE '*STW ' END || printf('%.12g', q) FROM w WHERE n <> 3 UNION ALL SELECT o, name, 2, 'minimum_bhp', '*OPERATE ''' || name || ''' *MIN *BHP ' || printf('%.12g', q * 2) FROM w WHERE n <> 3),
+x AS (SELECT o, '** Generated deterministic CMG demo control fragment' || chr(10) || '** Dialect: TEST' || chr(10) || '** Not a standalone dataset; host well/completion context is required.' || chr(10) || string_agg(t, chr(10) ORDER BY name, n, l) || chr(10) AS x FROM t GROUP BY o)
+SELECT o AS case_id, sha256(x) AS sha256, CAST(length(x) AS INTEGER) AS n_chars FROM x
+"""
+
+
+def include_texts(spark, sf_dir):
+    """The INCLUDE text of an order's wells."""
+    return render.render_include(render.include_records(_wells(spark, sf_dir)), "TEST").select("case_id", F.sha2("text", 256).alias("sha256"), F.length("text").alias("n_chars"))
+
+
+SQL_INCLUDES = SQL_WELLS + """, r AS (SELECT o, name, CASE kind WHEN 'producer' THEN 'WCONPROD' ELSE 'WCONINJE' END AS k, '  ''' || name || '''' || CASE kind WHEN 'producer' THEN ' ''OPEN'' ''LRAT'' 1* 1* 1* ' || printf('%.12g', q) || ' 1* ' || printf('%.12g', q * 2) ELSE ' ''WATER'' ''OPEN'' ''RATE'' ' || printf('%.12g', q) || ' 1* 1*' END || ' /' AS line FROM w WHERE n <> 3),
+g AS (SELECT o, k, k || chr(10) || string_agg(line, chr(10) ORDER BY name) || chr(10) || '/' AS t FROM r GROUP BY o, k),
+x AS (SELECT o, '-- Generated deterministic demo INCLUDE' || chr(10) || '-- Dialect: TEST' || chr(10) || '-- Requires a compatible host deck; no missing values were guessed.' || chr(10) || chr(10) || '-- SCHEDULE' || chr(10) || string_agg(t, chr(10) ORDER BY k DESC) || chr(10) AS x FROM g GROUP BY o)
+SELECT o AS case_id, sha256(x) AS sha256, CAST(length(x) AS INTEGER) AS n_chars FROM x
+"""
+
+
+def include_issues(spark, sf_dir):
+    """Export issues of the INCLUDE platform."""
+    return validate.include_level(_wells(spark, sf_dir)).select("case_id", "severity", "code", "path")
+
+
+SQL_INCLUDE_ISSUES = SQL_WELLS + """, e AS (SELECT o, 'ECLIPSE_WELL_NAME_TOO_LONG' AS code, 'wells[' || name || '].id' AS path FROM w WHERE length(name) > 8
+  UNION ALL SELECT o, 'ECLIPSE_CONTROL_UNSUPPORTED', 'wells[' || name || '].controls[' || control || ']' FROM w WHERE n <> 3 AND (s % 3 = 0) <> (s % 2 = 0))
+SELECT o AS case_id, 'error' AS severity, code, path FROM e UNION ALL SELECT DISTINCT o, 'warning', 'ECLIPSE_HOST_DECK_CONTEXT_REQUIRED', 'wells' FROM w
+UNION ALL SELECT o, 'error', 'ECLIPSE_NO_EXPORTABLE_CONTENT', '$' FROM w WHERE o NOT IN (SELECT o FROM e) GROUP BY o HAVING NOT bool_or(n <> 3)
+"""
+
+
 def fragment_issues(spark, sf_dir):
     """Export issues of the fragment platform."""
     rows = _wells(spark, sf_dir).union(table(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0").select("o_orderkey", F.lit("rock.compressibility"), F.lit(1.0), F.lit(None).cast("string")))
@@ -493,6 +524,9 @@ QUERIES = {
     "schema_issues": (schema_issues, SQL_SCHEMA),
     "ontology_issues": (ontology_issues, SQL_ONTOLOGY),
     "nested_wells": (nested_wells, SQL_NESTED),
+    "control_fragments": (control_fragments, SQL_FRAGMENTS),
+    "include_texts": (include_texts, SQL_INCLUDES),
+    "include_issues": (include_issues, SQL_INCLUDE_ISSUES),
     "fragment_issues": (fragment_issues, SQL_FRAGMENT),
     "vocabulary_checks": (vocabulary_checks, SQL_VOCABULARY),
     "path_grammar": (path_grammar, "SELECT p_partkey, 3::BIGINT AS n, CASE WHEN p_size % 2 = 0 THEN 3 ELSE 2 END::BIGINT AS n_named, CASE WHEN p_size % 2 = 0 THEN p_partkey::VARCHAR END AS selector FROM part"),
