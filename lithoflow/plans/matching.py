@@ -94,6 +94,12 @@ def normalise_terms(spark, sf_dir):
     return terms.select("term", T.normal(F.col("term")).alias("n1"), T.plain_normal(F.col("term")).alias("n4"), T.field_key(F.col("term")).alias("n7"))
 
 
+def normalise_exact(spark, sf_dir):
+    """full compatibility normalisation and case folding of part names, with signs that both change."""
+    name = F.concat(F.lit("\uff21\u00c4\u00df\u2460 "), F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.normal(name, exact=True).alias("n1"), T.unit_key(F.concat(F.lit(" \uff2b"), F.lit("g per M\u00b7s")), exact=True).alias("unit"))
+
+
 def alias_theta_match(spark, sf_dir):
     return matches(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.count_distinct("concept").alias("n_concepts"), F.max("score").alias("best"))
 
@@ -252,6 +258,7 @@ QUERIES = {
     "table_rectangularity": (table_rectangularity, "SELECT o_orderkey, len(string_split(concat_ws(',', o_orderkey, o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN o_orderstatus || ',extra' ELSE o_orderstatus END), ','))::BIGINT AS width FROM orders WHERE width <> 3"),
     "bounding_rectangle": (bounding_rectangle, "SELECT p_brand, min(p_size) AS top, max(p_size) AS bottom, min(p_partkey % 13) AS first, max(p_partkey % 13) AS last, count(*) AS n_cells FROM part WHERE p_retailprice > 950 GROUP BY p_brand"),
     "normalise_terms": (normalise_terms, f"SELECT term, {sql_normal('term')} AS n1, {sql_plain('term')} AS n4, regexp_replace(replace(lower(term), 'ß', 'ss'), '[^a-z0-9]', '', 'g') AS n7 FROM (SELECT p_name AS term FROM part UNION SELECT p_type FROM part)"),
+    "normalise_exact": (normalise_exact, f"SELECT p_partkey, 'aäss1 ' || {sql_normal('p_name')} AS n1, 'kg/m.s' AS unit FROM part"),
     "alias_theta_match": (alias_theta_match, f"WITH {SQL_ALIAS}, {SQL_MATCH} SELECT doc_id, count(*) AS n_terms, count(DISTINCT concept) AS n_concepts, max(score) AS best FROM m GROUP BY doc_id"),
     "source_term_match": (source_term_match, SQL_SOURCE),
     "keyword_overlap_score": (keyword_overlap_score, SQL_KEYWORD),

@@ -138,3 +138,26 @@ def load_platform(path: str | Path) -> dict:
             raise VocabularyError(f"{p.get('platform')}: {key} has two rules")
         rules[key] = rule["target_type"]
     return {"platform": p["platform"], "dialect": p.get("dialect"), "rules": rules}
+
+
+def output_rules(platform: dict, bindings: list[dict]) -> dict:
+    """{(concept, context): keyword} of a platform (load_platform), with the context of rules that name none.
+
+    A concept bound once has that context; one bound several times, or never, needs a context of its rule; a context that is
+    not bound, and two rules for one meaning, are errors.
+    """
+    bound: dict[str, set[tuple]] = {}
+    for b in bindings:
+        bound.setdefault(b["concept_id"], set()).add(tuple(b["context"].get(c) for c in CONTEXT))
+    out: dict[tuple, str] = {}
+    for (concept, context), keyword in platform["rules"].items():
+        known = bound.get(concept, set())
+        if context is None and len(known) != 1:
+            raise VocabularyError(f"{platform['platform']}: the rule of {concept} needs a context: it is bound {len(known)} times")
+        context = next(iter(known)) if context is None else context
+        if context not in known:
+            raise VocabularyError(f"{platform['platform']}: {concept} is not bound in {context}")
+        if (concept, context) in out:
+            raise VocabularyError(f"{platform['platform']}: two rules for {concept} in {context}")
+        out[concept, context] = keyword
+    return out
