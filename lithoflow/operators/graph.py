@@ -46,3 +46,24 @@ def compatible(a: DataFrame, b: DataFrame) -> DataFrame:
     system = F.col("x.phase_system").isNotNull() & F.col("y.phase_system").isNotNull()
     phase = F.col("x.phase").isNull() | F.col("y.phase").isNull() | (F.col("x.phase") == F.col("y.phase"))
     return x.join(y, (F.col("x.scope") == F.col("y.scope")) & F.when(system, F.col("x.phase_system") == F.col("y.phase_system")).otherwise(phase))
+
+
+def neighbourhood(edges: DataFrame, focus: str) -> DataFrame:
+    """(node): focus and the nodes one edge (src, dst) away, either way."""
+    near = edges.filter((F.col("src") == focus) | (F.col("dst") == focus)).select(F.explode(F.array("src", "dst")).alias("node"))
+    return near.union(edges.sparkSession.createDataFrame([(focus,)], "node string")).distinct()
+
+
+def visible_edges(edges: DataFrame, nodes: DataFrame, relations: list[str], scope: str | None = None) -> DataFrame:
+    """Edges (src, relation, dst, scope) of the chosen relations with both ends among nodes (node); of a scope, if one is
+    chosen, together with the edges that state none."""
+    found = edges.filter(F.col("relation").isin(relations))
+    found = found if scope is None else found.filter(F.col("scope").isNull() | (F.col("scope") == scope))
+    return found.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
+
+
+def search(concepts: DataFrame, query: str, texts: list[str], order: str, most: int = 8) -> DataFrame:
+    """The first concepts, in their order, of which some text holds the query as it is, but for case; none for a blank query."""
+    wanted = query.strip().lower()
+    held = F.lower(F.concat_ws(" ", *texts)).contains(wanted) if wanted else F.lit(False)
+    return concepts.filter(held).orderBy(order).limit(most)

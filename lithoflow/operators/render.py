@@ -130,3 +130,11 @@ def fragment_records(quantities: DataFrame) -> DataFrame:
         .union(rows.filter("field = 'target'").select("case_id", key(2, F.col("control"), none), zero, F.lit("OPERATE"), F.concat_ws(" ", name, F.lit("*MAX"), operation, number_token(F.col("value"), "*"))))
         .union(rows.filter("limit IS NOT NULL").select("case_id", key(2, F.col("control"), F.col("limit")), zero, F.lit("OPERATE"), F.concat_ws(" ", name, mode, F.lit("*BHP"), number_token(F.col("value"), "*"))))
     )
+
+
+def nonwell_data(quantities: DataFrame) -> DataFrame:
+    """(case_id, nonwell): whether a case has any value outside its wells (rock, fluids, relative permeability, schedule)."""
+    # fixed values: the fields that count
+    outside = F.col("path").rlike(r"^(rock\.(compressibility|reference_pressure)|fluids\.(oil|water|gas)\b.*|scal\.relative_permeability\b.*|schedule\.(duration|report_interval))$")
+    given = F.col("value").isNotNull() | F.col("text").isNotNull()
+    return quantities.groupBy("case_id").agg(F.coalesce(F.bool_or(outside & given), F.lit(False)).alias("nonwell"))

@@ -99,3 +99,17 @@ def confidence_band(confidence: Column) -> Column:
 def gate(rows: DataFrame, key: str, band: str = "band") -> DataFrame:
     """One status a case; anything for review, or nothing at all, stops it."""
     return rows.groupBy(key).agg(F.count(band).alias("n_matches"), F.coalesce(F.bool_or(F.col(band) == "review"), F.lit(False)).alias("r")).withColumn("status", F.when((F.col("n_matches") == 0) | F.col("r"), "review_required").otherwise("ready")).drop("r")
+
+
+def low_confidence_flag(flags: Column) -> Column:
+    """Whether a flag of the array names a low confidence; false for null and for an empty array."""
+    # fixed value: the pattern of such flags
+    low = F.exists(flags, lambda f: F.coalesce(F.upper(F.trim(f)).rlike(r"(^|_)LOW(_[A-Z0-9]+)*_CONFIDENCE$"), F.lit(False)))
+    return F.coalesce(low, F.lit(False))
+
+
+def review_list(mappings: DataFrame) -> DataFrame:
+    """Mappings (status, confidence) for a reviewer, with their list: unresolved, low_confidence below 0.8, warning below 0.95."""
+    confidence = F.col("confidence")
+    kind = F.when(~F.col("status").eqNullSafe(F.lit("MAPPED")), "unresolved").when(confidence < 0.8, "low_confidence").when(confidence < 0.95, "warning")
+    return mappings.withColumn("list", kind).filter("list IS NOT NULL")

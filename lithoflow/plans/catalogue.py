@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import canonical, checks, lifecycle, matching, pages
+from . import canonical, checks, explorer, lifecycle, matching, pages
 
-MODULES = [matching, checks, canonical, pages, lifecycle]
+MODULES = [matching, checks, canonical, pages, lifecycle, explorer]
 
 
 def _all() -> dict:

@@ -41,3 +41,11 @@ def lineage(calls: DataFrame, chain: list[str], order: str) -> DataFrame:
 def review_summary(decisions: DataFrame) -> DataFrame:
     """A08."""
     return decisions.groupBy("case_id").agg(*[F.count_if(F.col("action") == a).alias(f"n_{a}") for a in ("include", "exclude", "accept")])
+
+
+def mark_latest(calls: DataFrame, outcomes: DataFrame, context: list[str], order: str) -> DataFrame:
+    """Calls with the outcome and error_code that outcomes has for their context (one row each) on its latest call alone."""
+    last = Window.partitionBy(*context)
+    told = calls.withColumn("_last", F.max(order).over(last)).join(outcomes.select(*context, F.col("outcome").alias("_outcome"), F.col("error_code").alias("_error")), context, "left")
+    latest = (F.col(order) == F.col("_last")) & F.col("_outcome").isNotNull()
+    return told.withColumn("outcome", F.when(latest, F.col("_outcome")).otherwise(F.col("outcome"))).withColumn("error_code", F.when(latest, F.col("_error")).otherwise(F.col("error_code"))).drop("_last", "_outcome", "_error")
