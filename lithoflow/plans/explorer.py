@@ -48,23 +48,23 @@ UNION ALL SELECT o_orderkey::VARCHAR, '$.TSTEP', '3', '4' FROM orders WHERE o_or
 
 
 def concept_neighbourhood(spark, sf_dir):
-    """Edges that show when the nation FRANCE is in focus, in the scope of customers."""
+    """Edges that show when a nation is in focus, in the scope of customers."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     part_of = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("src"), F.lit("part_of").alias("relation"), F.col("r_name").alias("dst"), F.lit(None).cast("string").alias("scope"))
     at = lambda name, key, own, scope: table(spark, sf_dir, name).join(nation, F.col(key) == F.col("n_nationkey")).select(F.col(own), F.lit("located_in"), "n_name", F.lit(scope))
     edges = part_of.union(at("customer", "c_nationkey", "c_name", "customers")).union(at("supplier", "s_nationkey", "s_name", "suppliers"))
-    return graph.visible_edges(edges, graph.neighbourhood(edges, "FRANCE"), ["part_of", "located_in"], "customers").select("src", "relation", "dst", "scope")
+    return graph.visible_edges(edges, graph.neighbourhood(edges, "NATION_6"), ["part_of", "located_in"], "customers").select("src", "relation", "dst", "scope")
 
 
 SQL_NEIGHBOURS = """
-SELECT n_name AS src, 'part_of' AS relation, r_name AS dst, NULL::VARCHAR AS scope FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_name = 'FRANCE'
-UNION ALL SELECT c_name, 'located_in', n_name, 'customers' FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'FRANCE'
+SELECT n_name AS src, 'part_of' AS relation, r_name AS dst, NULL::VARCHAR AS scope FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_name = 'NATION_6'
+UNION ALL SELECT c_name, 'located_in', n_name, 'customers' FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_6'
 """
 
 
 def concept_search(spark, sf_dir):
     """The first eight parts whose name, brand or type holds the query (a top-k report)."""
-    return graph.search(table(spark, sf_dir, "part"), " Brass ", ["p_name", "p_brand", "p_type"], "p_partkey", 8).select("p_partkey", "p_name", "p_type")
+    return graph.search(table(spark, sf_dir, "part"), " Bolt ", ["p_name", "p_brand", "p_type"], "p_partkey", 8).select("p_partkey", "p_name", "p_type")
 
 
 def low_confidence_flags(spark, sf_dir):
@@ -101,7 +101,7 @@ QUERIES = {
     "include_parse": (include_parse, SQL_PARSE),
     "include_compare": (include_compare, SQL_COMPARE),
     "concept_neighbourhood": (concept_neighbourhood, SQL_NEIGHBOURS),
-    "concept_search": (concept_search, "SELECT p_partkey, p_name, p_type FROM part WHERE contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'brass') ORDER BY p_partkey LIMIT 8"),
+    "concept_search": (concept_search, "SELECT p_partkey, p_name, p_type FROM part WHERE contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'bolt') ORDER BY p_partkey LIMIT 8"),
     "low_confidence_flags": (low_confidence_flags, "SELECT event_id, event_id % 9 <> 0 AND event_id % 4 IN (0, 1, 3) AND user_id % 3 <> 0 AS low FROM events"),
     "review_lists": (review_lists, "SELECT doc_id, CASE WHEN c IS NULL THEN 'unresolved' WHEN c < 0.8 THEN 'low_confidence' ELSE 'warning' END AS list FROM (SELECT doc_id, round((0.99 - 0.1 * toxic - 0.3 * (1 - quality))::DOUBLE, 6) AS c FROM documents LEFT JOIN labels USING (doc_id)) WHERE c IS NULL OR c < 0.95"),
     "nonwell_cases": (nonwell_cases, "SELECT l_orderkey AS case_id, bool_or(l_linenumber IN (3, 4, 5) AND l_returnflag = 'N') AS nonwell FROM lineitem GROUP BY 1"),
